@@ -114,15 +114,15 @@ def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame
     return counts.where(F.col("heavy_key").isNotNull() & (F.col("n") >= F.lit(share * total)))
 
 
-def skewed_lookup(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", share: float = HEAVY_SHARE) -> DataFrame:
-    """Join ``rows`` to ``lookup`` (one row per ``key``) where some keys are hot in ``rows``.
+def skewed_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", share: float = HEAVY_SHARE) -> DataFrame:
+    """Join ``rows`` to ``lookup`` (one row per key) where some keys are hot in ``rows``.
 
-    The lookup rows of heavy keys, at most ``SKETCH_TOP`` of them, are broadcast;
-    all others meet by a shuffle in which no key is heavy. ``how`` is ``inner``
-    or ``left``.
+    The lookup rows of heavy keys, about ``1 / share`` of them and never more
+    than ``SKETCH_TOP``, are broadcast; all others meet by a shuffle in which no
+    key is heavy. ``how`` is ``inner`` or ``left``.
     """
-    heavy, _ = heavy_hashes(rows, [key], share)
+    heavy, _ = heavy_hashes(rows, keys, share)
     if not heavy:
-        return rows.join(lookup, key, how)
-    hot = F.xxhash64(key).isin(list(heavy))
-    return rows.where(hot).join(F.broadcast(lookup.where(hot)), key, how).unionByName(rows.where(~hot).join(lookup.where(~hot), key, how))
+        return rows.join(lookup, keys, how)
+    hot = F.xxhash64(*keys).isin(list(heavy))
+    return rows.where(hot).join(F.broadcast(lookup.where(hot)), keys, how).unionByName(rows.where(~hot).join(lookup.where(~hot), keys, how))
