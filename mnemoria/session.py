@@ -74,3 +74,22 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def env_path(name: str, default: str) -> str:
     return os.environ.get(name, default)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once for each application."""
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_mnemoria_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="mnemoria-code-")) / "mnemoria.zip"
+    atexit.register(lambda: __import__("shutil").rmtree(target.parent, ignore_errors=True))
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for path in sorted(root.rglob("*")):
+            if path.is_file() and path.suffix not in (".pyc",):
+                archive.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(target))
+    context._mnemoria_shipped = True
