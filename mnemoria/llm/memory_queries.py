@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import full_key, load
 from .format_dup import copy_counts, format_copies
+from .neighbours import nearest_neighbours
 from .topn import top_n_per_group
 
 #: Letters and digits in lower case, and whether a value is a list of fields.
@@ -70,5 +71,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 P7_FOUND = f"SELECT DISTINCT namespace, key, fire_id FROM ({P7_TOP_FIVE})"
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copy_counts, p7_found, p7_top_five)}
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest_neighbours(_entries(spark, folder), "id", "embedding", k=5, least=0.8, dims=64)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = p3_neighbours(spark, folder)
+    return pairs.select(F.least("id", "neighbour").alias("key_a"), F.greatest("id", "neighbour").alias("key_b")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_copy_counts, p3_found, p3_neighbours, p7_found, p7_top_five)}
 ORACLE = {"p2_found": P2_FOUND, "p2_copy_counts": P2_COPY_COUNTS, "p7_found": P7_FOUND, "p7_top_five": P7_TOP_FIVE}
