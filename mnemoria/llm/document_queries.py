@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources import load
 from .leak import WINDOW_WORDS, find_leaks
 from .packing import container_fill, pack
+from .spam import score_pages, spam_pages
 
 
 def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,5 +35,13 @@ item_grams AS (SELECT item_id, list_aggregate(w[i:i + 9], 'string_agg', ' ') AS
 SELECT DISTINCT doc_id, item_id FROM doc_grams JOIN item_grams USING (gram)
 """
 
-QUERIES = {f.__name__: f for f in (p8_pack, p8_fill, p9_found, p9_leaks)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spam_pages(load(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score_pages(load(spark, folder, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p8_pack, p8_fill, p9_found, p9_leaks, p10_found, p10_scores)}
 ORACLE: dict[str, str] = {"p9_found": P9_FOUND}

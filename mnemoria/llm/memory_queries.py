@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import full_key, load
 from .format_dup import copy_counts, format_copies
+from .near_dup import classes_with_links, expand_pairs, near_duplicates
 from .neighbours import nearest_neighbours
 from .topn import top_n_per_group
 
@@ -80,5 +81,28 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.least("id", "neighbour").alias("key_a"), F.greatest("id", "neighbour").alias("key_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_copy_counts, p3_found, p3_neighbours, p7_found, p7_top_five)}
-ORACLE = {"p2_found": P2_FOUND, "p2_copy_counts": P2_COPY_COUNTS, "p7_found": P7_FOUND, "p7_top_five": P7_TOP_FIVE}
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return expand_pairs(*near_duplicates(_entries(spark, folder), "id", "value", "memory_type", words_per_shingle=3, similarity=0.5))
+
+
+P1_FOUND = (
+    "WITH "
+    + _SQL_FIELDS
+    + """, worded AS (SELECT id, memory_type, string_split(trim(regexp_replace(lower(value), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w
+  FROM parts WHERE NOT coalesce(is_json, false) AND NOT is_list),
+grams AS (SELECT DISTINCT id, memory_type, gram FROM (SELECT id, memory_type, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram
+  FROM (SELECT id, memory_type, w, unnest(range(1, len(w) - 1)) AS i FROM worded WHERE len(w) >= 12))),
+sizes AS (SELECT id, count(*) AS n FROM grams GROUP BY id),
+shared AS (SELECT a.id AS key_a, b.id AS key_b, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.memory_type IS NOT DISTINCT FROM b.memory_type AND a.id < b.id GROUP BY a.id, b.id)
+SELECT key_a, key_b FROM shared s JOIN sizes x ON x.id = key_a JOIN sizes y ON y.id = key_b WHERE 2 * s.n >= x.n + y.n - s.n
+"""
+)
+
+
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The usual form: five words, similarity 0.8, one row per record with its class and links."""
+    return classes_with_links(*near_duplicates(_entries(spark, folder), "id", "value", "memory_type"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_copy_counts, p3_found, p3_neighbours, p7_found, p7_top_five)}
+ORACLE = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_copy_counts": P2_COPY_COUNTS, "p7_found": P7_FOUND, "p7_top_five": P7_TOP_FIVE}
