@@ -33,13 +33,13 @@ SEGMENT_TOKENS = 32
 #: A segment is abnormal when its cross-entropy lies this many standard deviations from that of prose.
 DEVIATIONS = 3.0
 #: A segment advertises when at least this share of its words are sales words, prices or outward links.
-AD_SHARE = 0.22
+AD_SHARE = 0.4
 #: A page is spam when more than this share of its text lies in abnormal segments that advertise.
 PAGE_SHARE = 0.5
 
 _TOKEN = re.compile(r"https?://[^\s\]<>|\"']+|\d+[.,]\d\d(?![\d.,]\d)|\d+|[^\W\d_]+|\[\[|\]\]|\{\{|\}\}|\{\||\|\}|\|\||\|-|=+|'{2,}|\n|[^\w\s]")
 _MARKS = list(".,;:!?()|*#<>/-–\"'") + ["[[", "]]", "{{", "}}", "{|", "|}", "||", "|-", "=", "''", "[", "]"]
-_OTHER = ["word", "capital", "upper", "number", "price", "year", "link", "mark"]
+_OTHER = ["word", "sale", "capital", "upper", "number", "price", "year", "link", "mark"]
 _NAMES = ["edge", *_OTHER, *_MARKS, *dict.fromkeys(w for ws in FUNCTION_WORDS.values() for w in ws)]
 CLASS = {name: i for i, name in enumerate(_NAMES)}
 N_CLASSES = len(_NAMES)
@@ -62,7 +62,9 @@ def classify(token: str) -> tuple[int, int]:
         sale = SALE if lower in SALES_WORDS else 0
         if lower in CLASS and len(lower) <= 9 and not sale and lower not in _OTHER:
             return CLASS[lower], WORD
-        return CLASS["upper" if len(token) > 1 and token.isupper() else "capital" if token[0].isupper() else "word"], WORD | sale
+        if sale:
+            return CLASS["sale"], WORD | SALE
+        return CLASS["upper" if len(token) > 1 and token.isupper() else "capital" if token[0].isupper() else "word"], WORD
     key = "=" if token[0] == "=" else "''" if token.startswith("''") else token
     return CLASS.get(key, CLASS["mark"]), 0
 
