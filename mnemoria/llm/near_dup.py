@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import skewed_lookup
@@ -107,15 +107,15 @@ def token_frequencies(records: DataFrame) -> np.ndarray:
 SINGLE_BANDS = 3
 
 
-def plan(size: np.ndarray, band: np.ndarray, own: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(segments, slack, ignored)`` for records of ``size`` tokens, searched in the band of sizes 2**band to 2**(band + 1).
+def plan(size: np.ndarray, band: np.ndarray, own: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(segments, ignored)`` for records of ``size`` tokens, searched in the band of sizes 2**band to 2**(band + 1).
 
     Two records of similarity t share at least o = t / (1 + t) times the sum of
     their sizes. The universe is split into m segments. A record leaves out its
     ``ignored`` most frequent tokens; as all records order tokens alike, of the
     shared tokens no more than the larger of both numbers is lost. If every
     segment held at most one shared token then o would be at most m + ignored.
-    As m + ignored = o - slack, at least ``slack`` pairs of shared tokens fall
+    As m + ignored = o - slack, at least ``slack_of`` pairs of shared tokens fall
     into common segments. Small records have no segments: each token stands alone.
     """
     low = 1 << band
@@ -125,7 +125,12 @@ def plan(size: np.ndarray, band: np.ndarray, own: np.ndarray, similarity: float)
     single = band < SINGLE_BANDS
     segments = np.where(single, 0, low // 4)
     slack = np.where(single, 1, np.minimum(low // 8, 4))
-    return segments, slack, shared - slack - segments
+    return segments, shared - slack - segments
+
+
+def slack_of(band: Column) -> Column:
+    """Signatures that similar records share at least in a band, as in ``plan``."""
+    return F.when(band < SINGLE_BANDS, 1).otherwise(F.least(F.pow(F.lit(2.0), band.cast("double")) / 8, F.lit(4.0)))
 
 
 def _signatures(frequencies, similarity: float):
@@ -145,13 +150,13 @@ def _signatures(frequencies, similarity: float):
             own_band = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
             for up in (0, 1):
                 band = own_band + up
-                segments, slack, ignored = plan(sizes, band, np.full(len(sizes), up == 0), similarity)
+                segments, ignored = plan(sizes, band, np.full(len(sizes), up == 0), similarity)
                 # the most frequent tokens are what a record may ignore; a token of one record only is never shared
                 keep = (place < (sizes - ignored)[owner]) & (often > 1)
                 kept, who = tokens[keep], owner[keep]
                 rare = (often[keep] <= RARE) | (band[who] < SINGLE_BANDS)
                 alone = mix(kept[rare] ^ mix(band[who[rare]].astype(np.uint64) + np.uint64(1)))
-                yield _rows(alone, numbers[who[rare]], band[who[rare]], slack[who[rare]], up == 0)
+                yield _rows(alone, numbers[who[rare]], band[who[rare]], up == 0)
                 kept, who = kept[~rare], who[~rare]
                 segment = (mix(kept) >> np.uint64(11)) % segments[who].astype(np.uint64)
                 order = np.lexsort((kept, segment, who))
@@ -168,16 +173,14 @@ def _signatures(frequencies, similarity: float):
                 with np.errstate(over="ignore"):
                     pair = mix(mix(kept[left]) * np.uint64(0x9E3779B97F4A7C15) + kept[right])
                 pair = mix(pair ^ mix(band[who[left]].astype(np.uint64) + np.uint64(101)))
-                yield _rows(pair, numbers[who[left]], band[who[left]], slack[who[left]], up == 0)
+                yield _rows(pair, numbers[who[left]], band[who[left]], up == 0)
 
     return signatures
 
 
-def _rows(signature: np.ndarray, numbers: np.ndarray, band: np.ndarray, slack: np.ndarray, own: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(signature.view(np.int64)), pa.array(numbers.astype(np.int64)), pa.array(band.astype(np.int8)), pa.array(slack.astype(np.int8)), pa.array(np.full(len(band), own))],
-        ["signature", "no", "band", "slack", "own"],
-    )
+def _rows(signature: np.ndarray, numbers: np.ndarray, band: np.ndarray, own: bool) -> pa.RecordBatch:
+    place = (2 * band + own).astype(np.int8)
+    return pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(numbers.astype(np.int64)), pa.array(place)], ["signature", "no", "place"])
 
 
 def near_duplicates(df: DataFrame, id_column: str, value_column: str, kind_column: str, words_per_shingle: int = 5, similarity: float = 0.8, least_words: int = 12) -> tuple[DataFrame, DataFrame]:
@@ -209,11 +212,13 @@ def near_duplicates(df: DataFrame, id_column: str, value_column: str, kind_colum
     first = sets.join(members.where(F.col("id") == F.col("rep")).select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
     records = materialize(first.select(F.monotonically_increasing_id().alias("no"), F.col("id").alias("rep"), "tokens"), "near-records")
     frequencies = spark.sparkContext.broadcast(token_frequencies(records))
-    rows = records.select("no", "tokens").mapInArrow(_signatures(frequencies, similarity), "signature long, no long, band byte, slack byte, own boolean")
-    rows = materialize(rows, "near-signatures")
+    rows = records.select("no", "tokens").mapInArrow(_signatures(frequencies, similarity), "signature long, no long, place byte")
+    # both sides are one and the same shuffle, which Spark runs once
     a, b = rows.alias("a"), rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
-    met = a.join(b, (F.col("a.signature") == F.col("signature_b")) & (F.col("a.no") < F.col("no_b")) & (F.col("a.own") | F.col("own_b")))
-    shared = met.groupBy("no", "no_b", "band").agg(F.count(F.lit(1)).alias("n"), F.first("slack").alias("slack")).where(F.col("n") >= F.col("slack"))
+    own = (F.col("a.place").bitwiseOR(F.col("place_b"))).bitwiseAND(F.lit(1).cast("byte")) == 1
+    met = a.hint("merge").join(b, (F.col("a.signature") == F.col("signature_b")) & (F.col("a.no") < F.col("no_b")) & own)
+    band = F.shiftright(F.col("place"), 1)
+    shared = met.groupBy("no", "no_b", band.alias("band")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= slack_of(F.col("band")))
     candidates = materialize(shared.select("no", "no_b").distinct(), "near-candidates")
     left = records.select("no", F.col("rep").alias("rep_1"), F.col("tokens").alias("tokens_1"))
     right = records.select(F.col("no").alias("no_b"), F.col("rep").alias("rep_2"), F.col("tokens").alias("tokens_2"))
