@@ -67,6 +67,15 @@ def materialize(df: DataFrame, label: str = "step", partition_by: list[str] | No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized result that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/mnemoria/" in path:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's shuffle partitions: what wide steps that need a number use."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
