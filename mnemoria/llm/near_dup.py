@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import skewed_lookup
-from ..session import materialize
+from ..session import discard, materialize
 from .folding import fields, mix
 from .words import shingles, word_hashes
 
@@ -207,12 +207,13 @@ def near_duplicates(df: DataFrame, id_column: str, value_column: str, kind_colum
     spark = df.sparkSession
     slim = df.select(F.col(id_column).cast("string").alias("id"), F.col(value_column).alias("value"), F.col(kind_column).cast("string").alias("kind")).where(F.col("id").isNotNull() & F.col("value").isNotNull())
     sets = materialize(slim.mapInArrow(_records(words_per_shingle, least_words), "id string, s1 long, s2 long, tokens array<long>"), "near-sets")
-    classes = sets.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-    members = materialize(skewed_lookup(sets.select("id", "s1", "s2"), classes, ["s1", "s2"]).select("id", "rep"), "near-members")
-    first = sets.join(members.where(F.col("id") == F.col("rep")).select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
-    records = materialize(first.select(F.monotonically_increasing_id().alias("no"), F.col("id").alias("rep"), "tokens"), "near-records")
+    classes = sets.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min_by("tokens", "id").alias("tokens"))
+    records = materialize(classes.select(F.monotonically_increasing_id().alias("no"), "rep", "n", "s1", "s2", "tokens"), "near-records")
+    copied = skewed_lookup(sets.select("id", "s1", "s2"), records.where(F.col("n") > 1).select("s1", "s2", "rep"), ["s1", "s2"]).select("id", "rep")
+    members = materialize(copied.unionByName(records.where(F.col("n") == 1).select(F.col("rep").alias("id"), "rep")), "near-members")
+    discard(sets)
     frequencies = spark.sparkContext.broadcast(token_frequencies(records))
-    rows = records.select("no", "tokens").mapInArrow(_signatures(frequencies, similarity), "signature long, no long, place byte")
+    rows = records.select("no", "tokens").mapInArrow(_signatures(frequencies, similarity), "signature long, no long, place byte").repartition("signature")
     # both sides are one and the same shuffle, which Spark runs once
     a, b = rows.alias("a"), rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
     own = (F.col("a.place").bitwiseOR(F.col("place_b"))).bitwiseAND(F.lit(1).cast("byte")) == 1
