@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pipeline
+from . import pipeline, read_queries
 
-_MODULES = (pipeline,)
+_MODULES = (pipeline, read_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return pipeline.p6_found(spark, folder)
+    return read_queries.relevance_scan(spark, folder)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
