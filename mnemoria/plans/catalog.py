@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pipeline, read_queries
+from . import maintenance_queries, pipeline, read_queries
 
-_MODULES = (pipeline, read_queries)
+_MODULES = (pipeline, read_queries, maintenance_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
