@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import document_queries, memory_queries
+from . import document_queries, memory_queries, pii_queries
 
-_MODULES = (memory_queries, document_queries)
+_MODULES = (memory_queries, pii_queries, document_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

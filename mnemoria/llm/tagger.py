@@ -110,18 +110,38 @@ class Tagger:
         self._run("b", codes, out)
         return out
 
-    def decode(self, scores: np.ndarray) -> np.ndarray:
-        """The best label sequence (Viterbi) for scores (time, labels)."""
-        move = self.weights["t"]
-        best, back = scores[0].copy(), np.empty((len(scores), LABELS), np.int8)
-        for t in range(1, len(scores)):
-            step = best[:, None] + move
-            back[t] = step.argmax(0)
-            best = step.max(0) + scores[t]
-        out = np.empty(len(scores), np.int8)
-        out[-1] = best.argmax()
-        for t in range(len(scores) - 1, 0, -1):
-            out[t - 1] = back[t, out[t]]
+    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """The best label sequences (Viterbi) for several texts' scores (time, labels) at once."""
+        move, out = self.weights["t"], [np.zeros(0, np.int8)] * len(scores)
+        order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
+        at = 0
+        while at < len(order):
+            some = order[at : at + _BATCH]
+            # a block holds as many texts as its longest one leaves room for
+            while len(some) > 1 and len(some) * len(scores[some[-1]]) > 1_000_000:
+                some = some[: len(some) // 2]
+            at += len(some)
+            sizes = np.array([len(scores[i]) for i in some])
+            block = np.zeros((sizes.max(), len(some), LABELS), np.float32)
+            for j, i in enumerate(some):
+                block[: sizes[j], j] = scores[i]
+            best, back, last = block[0].copy(), np.zeros((len(block), len(some), LABELS), np.int8), np.zeros(len(some), np.int8)
+            for t in range(len(block)):
+                if t:
+                    step = best[:, :, None] + move
+                    back[t] = step.argmax(1)
+                    best = step.max(1) + block[t]
+                ends = sizes == t + 1
+                if ends.any():
+                    last[ends] = best[ends].argmax(1)
+            path, label, rows = np.zeros(block.shape[:2], np.int8), last, np.arange(len(some))
+            for t in range(len(block) - 1, -1, -1):
+                # a text's path begins at its own last character
+                label = np.where(sizes == t + 1, last, label)
+                path[t] = label
+                label = back[t, rows, label]
+            for j, i in enumerate(some):
+                out[i] = path[: sizes[j], j]
         return out
 
     def may_label(self, scores: np.ndarray) -> np.ndarray:
@@ -168,8 +188,8 @@ class Tagger:
                     high = start + size - (OVERLAP // 2 if start + size < len(codes[i]) else 0)
                     whole[low:high] = found[low - start : high - start, j]
         out: list[np.ndarray | None] = [None] * len(texts)
-        for i in hit:
-            labels = self.decode(scores[i])
+        numbers = sorted(hit)
+        for i, labels in zip(numbers, self.decode([scores[i] for i in numbers])):
             if labels.any():
                 out[i] = labels
         return out
