@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import maintenance_queries, pipeline, read_queries
+from . import log_queries, maintenance_queries, pipeline, read_queries
 
-_MODULES = (pipeline, read_queries, maintenance_queries)
+_MODULES = (pipeline, read_queries, maintenance_queries, log_queries)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
