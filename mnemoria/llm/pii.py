@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import pkgutil
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +32,8 @@ _STREET = re.compile(
 
 @lru_cache(1)
 def tagger() -> Tagger:
-    return Tagger.load(MODEL)
+    # by the package's loader, as executors get the package as an archive
+    return Tagger.load(io.BytesIO(pkgutil.get_data(__package__, MODEL.name)))
 
 
 def plausible(kind: str, text: str) -> bool:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pathlib import Path
+from typing import BinaryIO
 
 import numpy as np
 
@@ -68,7 +69,7 @@ class Tagger:
         np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in self.weights.items()})
 
     @classmethod
-    def load(cls, path: Path) -> Tagger:
+    def load(cls, path: Path | BinaryIO) -> Tagger:
         with np.load(path) as stored:
             weights = {k: stored[k].astype(np.float32) for k in stored.files}
         out = cls(weights["hf"].shape[0])
