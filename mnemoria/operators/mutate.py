@@ -10,11 +10,12 @@ from ..schema import MEMORY_TYPES, TYPE_TTL_MS
 from .access import live
 
 
-def set_ops(writes: DataFrame, as_of_ms: int, apply_type_default_ttl: bool = False, default_type: str = "semantic") -> DataFrame:
+def set_ops(writes: DataFrame, as_of_ms: int, apply_type_default_ttl: bool = False, default_type: str = "semantic", keep: list[str] | None = None) -> DataFrame:
     """Log rows (without seq) for writes of ``(namespace, key, value[, memory_type, ttl_ms, embedding])``.
 
     The type is ``default_type`` where none is given, and an unknown type is
-    refused when the rows are read. A write without embedding erases one.
+    refused when the rows are read. A write without embedding erases one. Columns
+    in ``keep`` go with the rows.
     """
     have = set(writes.columns)
     kind = F.lower(F.coalesce(F.col("memory_type") if "memory_type" in have else F.lit(None).cast("string"), F.lit(default_type)))
@@ -25,7 +26,7 @@ def set_ops(writes: DataFrame, as_of_ms: int, apply_type_default_ttl: bool = Fal
             if default is not None:
                 ttl = F.when(ttl.isNull() & (kind == name), F.lit(default)).otherwise(ttl)
     vector = F.col("embedding").cast("array<float>") if "embedding" in have else F.lit(None).cast("array<float>")
-    return writes.select(F.lit("set").alias("op"), "namespace", "key", "value", checked.alias("memory_type"), ttl.alias("ttl_ms"), vector.alias("embedding"), F.lit(as_of_ms).cast("long").alias("ts_ms"))
+    return writes.select(*(keep or []), F.lit("set").alias("op"), "namespace", "key", "value", checked.alias("memory_type"), ttl.alias("ttl_ms"), vector.alias("embedding"), F.lit(as_of_ms).cast("long").alias("ts_ms"))
 
 
 def delete_keys(entries: DataFrame, keys: DataFrame) -> DataFrame:

@@ -164,8 +164,8 @@ def delete_prefix(spark: SparkSession, d: str) -> DataFrame:
 @C.add("SELECT DISTINCT seq, 'set' AS op, namespace, key, coalesce(memory_type, 'semantic') AS memory_type, CASE WHEN coalesce(ttl_ms, 0) <> 0 THEN ttl_ms WHEN memory_type = 'episodic' THEN 3600000 END AS ttl_ms FROM ops WHERE op = 'set'")
 def put_with_type_ttl(spark: SparkSession, d: str) -> DataFrame:
     writes = load(spark, d, "ops").where(F.col("op") == "set").select("seq", "namespace", "key", "value", "memory_type", "ttl_ms").distinct()
-    ops = mutate.set_ops(writes.withColumn("key", F.concat_ws("\u0001", "seq", "key")), AS_OF, apply_type_default_ttl=True)
-    return ops.select(F.split_part("key", F.lit("\u0001"), F.lit(1)).cast("long").alias("seq"), "op", "namespace", F.split_part("key", F.lit("\u0001"), F.lit(2)).alias("key"), "memory_type", "ttl_ms")
+    ops = mutate.set_ops(writes, AS_OF, apply_type_default_ttl=True, keep=["seq"])
+    return ops.select("seq", "op", "namespace", "key", "memory_type", "ttl_ms")
 
 
 # --- capacity: eight shards by the length of the full key
