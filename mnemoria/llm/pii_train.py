@@ -256,8 +256,10 @@ class Maker:
             value = r.choice(
                 [str(self.n(1, 5000)), r.choice(NOUNS), self.place(), r.choice(PAST), f"{r.choice(ADJECTIVES)} {r.choice(NOUNS)}", f"{r.choice(VERBS)} the {r.choice(NOUNS)}, then {r.choice(VERBS)} it", r.choice(PAST)]
             )
+            if r.random() < 0.15:
+                value = r.choice([value.upper(), value.title(), value + " ", value + ".", value + "!", value.upper() + "!"])
             rows.append((name, [(value, None)]))
-        if r.random() < 0.55:
+        if r.random() < 0.5:
             rows += r.sample(private, self.n(1, 2))
         if r.random() < 0.25:
             r.shuffle(rows)
@@ -293,7 +295,9 @@ class Maker:
         dress = r.random()
         title = "".join(c.upper() if i and not text[i - 1].isalnum() else c for i, c in enumerate(text))
         loud = "".join(c.upper() if r.random() < 0.25 else c for c in text)
-        changed = text.upper() if dress < 0.06 else text.lower() if dress < 0.12 else loud if dress < 0.15 else title if dress < 0.21 else text
+        # texts without personal data are dressed up more often, as their forms must not pass for names
+        much = 1.0 if labels.any() else 2.0
+        changed = text.upper() if dress < 0.06 * much else text.lower() if dress < 0.12 * much else loud if dress < 0.15 * much else title if dress < 0.21 * much else text
         if len(changed) == len(text):
             text = changed
         if r.random() < (0.05 if labels.any() else 0.35):  # other separators between words
