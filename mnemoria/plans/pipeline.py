@@ -41,8 +41,8 @@ def p4_namespace_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 P4_NAMESPACE_STATS = """
 SELECT namespace, count(*) AS n_rows, count(DISTINCT key) AS n_keys,
-  max(relevance) FILTER (WHERE relevance <= 1e308) AS best,
-  round(avg(relevance) FILTER (WHERE relevance <= 1e308), 6) AS mean,
+  max(relevance) FILTER (WHERE CAST(relevance AS VARCHAR) <> 'nan') AS best,
+  round(avg(relevance) FILTER (WHERE CAST(relevance AS VARCHAR) <> 'nan'), 6) AS mean,
   CAST(sum(access_count) AS BIGINT) AS reads, min(fired_at_ms) AS first_fired
 FROM trigger_entries GROUP BY namespace
 """
