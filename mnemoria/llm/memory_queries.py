@@ -61,7 +61,7 @@ P7_TOP_FIVE = """
 SELECT namespace, relevance, key, fire_id, CAST(place AS INTEGER) AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY namespace ORDER BY relevance DESC, key, fire_id) AS place
   FROM (SELECT DISTINCT namespace, relevance, key, fire_id FROM trigger_entries
-    WHERE namespace IS NOT NULL AND relevance IS NOT NULL AND relevance <= 1e308))
+    WHERE namespace IS NOT NULL AND relevance IS NOT NULL AND CAST(relevance AS VARCHAR) <> 'nan'))
 WHERE place <= 5
 """
 
