@@ -58,7 +58,7 @@ def check_access(requests: DataFrame, shares: DataFrame) -> DataFrame:
     """
     s = current_shares(shares).select(F.col("source_namespace").alias("namespace"), F.col("target_namespace").alias("caller"), "permission", F.coalesce("key_prefix", F.lit("")).alias("__prefix"))
     key = F.coalesce("key", F.lit(""))
-    fits = (~F.col("is_write") | (F.col("permission") == "read-write")) & ((key == "") | key.startswith(F.col("__prefix")))
+    fits = F.col("permission").isNotNull() & (~F.col("is_write") | (F.col("permission") == "read-write")) & ((key == "") | key.startswith(F.col("__prefix")))
     rows = requests.withColumn("__row", F.monotonically_increasing_id()).join(s, ["namespace", "caller"], "left").withColumn("__fits", F.coalesce(fits, F.lit(False)))
     columns = requests.columns
     merged = rows.groupBy("__row", *columns).agg(F.max("__fits").alias("__any"))
