@@ -59,7 +59,7 @@ def _records(words_per_shingle: int, least_words: int):
 def hash_text(text: str | None) -> int:
     """A hash of a short string that is the same in every process."""
     out = 1469598103934665603
-    for byte in (text or "\0").encode():
+    for byte in ("\0" if text is None else text).encode():
         out = ((out ^ byte) * 1099511628211) & 0x7FFFFFFFFFFFFFFF
     return out
 

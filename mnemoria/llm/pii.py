@@ -70,9 +70,10 @@ def find_spans(texts: list[str], model: Tagger | None = None) -> list[list[tuple
                         a -= 1
                     while b < len(text) and text[b - 1].isalnum() and text[b].isalnum() and labels[b] == 0:
                         b += 1
-                    while a < b and text[a].isspace():
+                    # marks around a piece belong to the text
+                    while a < b and not text[a].isalnum() and text[a] not in "+(":
                         a += 1
-                    while b > a and text[b - 1].isspace():
+                    while b > a and not text[b - 1].isalnum() and not (text[b - 1] == ")" and "(" in text[a:b]):
                         b -= 1
                     if plausible(kind, text[a:b]):
                         found.append((a, b, kind))

@@ -181,7 +181,8 @@ class Maker:
                 lambda: f"To {V()} the {N()}, {V()} the {A()} {N()} first and wait for {self.n(1, 999)} seconds.", lambda: f"Deployment of the {N()} in {pl()} was {P()}, since {N()} and {N()} are {A()}.", lambda: f"The {N()} at {pl()} needs a {A()} {N()} because the {N()} was {P()} {D()}.",
                 lambda: f"See also the earlier note.", lambda: f"index {self.n(1, 9999)} rebuilt, no errors", lambda: f"no new messages in room {self.n(1, 9999)}", lambda: f"cache warm-up {self.n(1, 9999)} complete", lambda: f"user idle for {self.n(1, 9999)} s",
                 lambda: f"heartbeat ok, lag {self.n(1, 9999)} ms", lambda: "Confidence low.", lambda: "Update pending.", lambda: f"[retry {self.n(1, 9)}]", lambda: "(copied from chat)", lambda: "Seen again.", lambda: f"task {self.n(1, 9999)} done", lambda: f"{pl()}, {pl()} and {pl()} agreed.",
-                lambda: f"{pl()} {N()} {V()} {A()}", lambda: f"Meet at {pl()} {pl()} tomorrow.", lambda: f"retry {self.n(1, 9999)} scheduled", lambda: f"sync finished for shard {self.n(1, 9999)}", lambda: f"ack {self.n(1, 9999)}", lambda: f"nothing to report (cycle {self.n(1, 9999)})",
+                lambda: f"{pl()} {N()} {V()} {A()}", lambda: f"Meet at {pl()} {pl()} tomorrow.", lambda: f"Le rendez-vous de {pl()} est confirmé, la gare reste fermée.", lambda: f"Der Termin in {pl()} wurde verlegt, die Mühle bleibt zu.", lambda: f"La cita de {pl()} fue movida y el molino sigue cerrado.", lambda: f"{pl()} a une gare et un vieux pont.", lambda: f"In {pl()} steht eine alte Brücke.",
+                lambda: f"while a {A()} {N()} {P()} the {N()} in {pl()} {D()}", lambda: f"the {N()} of {pl()} {D()} and the {A()} {N()} {N()}", lambda: f"retry {self.n(1, 9999)} scheduled", lambda: f"sync finished for shard {self.n(1, 9999)}", lambda: f"ack {self.n(1, 9999)}", lambda: f"nothing to report (cycle {self.n(1, 9999)})",
                 lambda: f"{N()} {P()}, {N()} {P()}, {A()} {N()} {D()}", lambda: f"In {pl()} {D()} {P()} {N()} {A()} {N()}.", lambda: f"{pl()} was {P()} {D()}, {pl()} {D()}.", lambda: f"{r.choice(NOUNS).title()} {r.choice(PAST)} {self.n(1, 999)} {A()} {N()}s", lambda: f"{str(self.n(1, 999))} {A()}",
             ]
         )()
@@ -213,6 +214,8 @@ class Maker:
                     lambda: t("Spoke with ") + name + t(" about it."), lambda: t("Signed off by ") + name + t("."), lambda: t("The request came from ") + name + t("."), lambda: t("assigned to ") + name, lambda: name + t(" asked to be told first."), lambda: t("Meeting with ") + name + t(" at noon."),
                     lambda: t("Record of ") + name + t(": ") + ident, lambda: t("emergency contact ") + name + t(" / ") + tel, lambda: t("Parcel for ") + name + t(", ") + home + t("."), lambda: t("From: ") + name + t(" <") + mail + t(">"), lambda: t("Ask ") + name + t(", ") + mail + t(", for access."),
                     lambda: name + t(" (") + mail + t(") wants a copy."), lambda: name + t(" now lives at ") + home + t("."), lambda: name + t(" can be reached at ") + r.choice([tel, mail]) + t("."), lambda: name + t(" gave ") + ident + t(" as proof."), lambda: name + t(" confirmed it by mail."),
+                    lambda: name + t(" a confirmé le rendez-vous."), lambda: t("Appelez ") + name + t(" demain."), lambda: t("Termin mit ") + name + t(" ist bestätigt."), lambda: name + t(" hat zugesagt."), lambda: t("Se lo dijo a ") + name + t("."), lambda: name + t(" confirmó la cita."), lambda: t("Confirmed by ") + name + t(" on Monday."),
+                    lambda: name + t(" ") + t(self.pick("called", "wrote back", "is on leave", "will pay", "signed")) + t(" " + self.pick("today", "early", "the form", "in " + self.place()) + "."),
                     lambda: t("Interview: ") + name + t(", ") + tel,
                 ]
             )()
