@@ -23,37 +23,53 @@ _MOST = np.iinfo(np.uint16).max
 RARE = 4
 
 
-def _records(words_per_shingle: int, least_words: int):
-    """Of each eligible value the set of its shingles, tied to its type, as sorted 64-bit tokens."""
-
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def token_sets(values: list[str], kinds: list[str | None], words_per_shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each value the set of its shingles, tied to its kind, as sorted 64-bit tokens; their bounds; the numbers of words."""
+    hashes, bounds = word_hashes(values)
+    grams, gram_bounds = shingles(hashes, bounds, words_per_shingle)
+    salt = {k: np.uint64(hash_text(k)) for k in set(kinds)}
+    owner = np.repeat(np.arange(len(values)), np.diff(gram_bounds))
+    with np.errstate(over="ignore"):
+        tokens = mix(grams + np.array([salt[k] for k in kinds], np.uint64)[owner])
+    order = np.lexsort((tokens, owner))
+    tokens, owner = tokens[order], owner[order]
+    first = np.ones(len(tokens), bool)
+    first[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
+    tokens, owner = tokens[first], owner[first]
+    return tokens, np.searchsorted(owner, np.arange(len(values) + 1)), np.diff(bounds)
+
+
+_SETS = "id string, s1 long, s2 long, value string, kind string, chunk int, counts binary"
+
+
+def _sets(words_per_shingle: int, least_words: int):
+    """Eligible values with 128 bits of their token sets; after the last one of a partition, its counts of tokens."""
+    kinds_of = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.binary()]
+    names = [x.split()[0] for x in _SETS.split(", ")]
+
+    def batch_of(**columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns[c] if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, kinds_of)], names)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             values, kinds = batch.column("value").to_pylist(), batch.column("kind").to_pylist()
             keep = [i for i, v in enumerate(values) if fields(v) is None]
-            hashes, bounds = word_hashes([values[i] for i in keep])
-            grams, gram_bounds = shingles(hashes, bounds, words_per_shingle)
-            enough = np.diff(bounds) >= least_words
-            salt = np.array([np.uint64(abs(hash_text(kinds[i]))) for i in keep], np.uint64) if keep else np.zeros(0, np.uint64)
-            with np.errstate(over="ignore"):
-                tokens = mix(grams + np.repeat(salt, np.diff(gram_bounds)))
-            owner = np.repeat(np.arange(len(keep)), np.diff(gram_bounds))
-            use = enough[owner]
-            order = np.lexsort((tokens[use], owner[use]))
-            tokens, owner = tokens[use][order], owner[use][order]
-            first = np.ones(len(tokens), bool)
-            first[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
-            tokens, owner = tokens[first], owner[first]
-            rows = np.flatnonzero(enough)
-            starts, ends = np.searchsorted(owner, rows), np.searchsorted(owner, rows, "right")
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens), dtype=np.uint64)])
-            sums2 = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens + np.uint64(77)), dtype=np.uint64)])
+            tokens, bounds, n_words = token_sets([values[i] for i in keep], [kinds[i] for i in keep], words_per_shingle)
+            enough = n_words >= least_words
+            # sums over a set don't depend on the order of its tokens
             with np.errstate(over="ignore"):
-                s1, s2 = sums[ends] - sums[starts], sums2[ends] - sums2[starts]
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate([starts, [len(tokens)]]).astype(np.int32)), pa.array(tokens.view(np.int64)))
-            ids = batch.column("id").take(pa.array([keep[i] for i in rows], pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), flat], ["id", "s1", "s2", "tokens"])
+                sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens + np.uint64(x)), dtype=np.uint64)]) for x in (0, 77)]
+                s1, s2 = (x[bounds[1:]] - x[bounds[:-1]] for x in sums)
+            total += np.bincount(_slot(tokens[np.repeat(enough, np.diff(bounds))]).astype(np.int64), minlength=COUNTERS)
+            rows = pa.array(np.array(keep, np.int64)[enough])
+            yield batch_of(id=batch.column("id").take(rows), s1=pa.array(s1[enough].view(np.int64)), s2=pa.array(s2[enough].view(np.int64)), value=batch.column("value").take(rows), kind=batch.column("kind").take(rows))
+        if total.any():
+            parts = np.minimum(total, _MOST).astype(np.uint16).reshape(_CHUNKS, -1)
+            yield batch_of(chunk=list(range(_CHUNKS)), counts=[p.tobytes() for p in parts])
 
-    return records
+    return sets
 
 
 def hash_text(text: str | None) -> int:
@@ -64,39 +80,22 @@ def hash_text(text: str | None) -> int:
     return out
 
 
-def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    column = batch.column("tokens")
-    offsets = np.asarray(column.offsets).astype(np.int64)
-    return np.asarray(column.values)[offsets[0] : offsets[-1]].view(np.uint64), offsets - offsets[0]
-
-
 def _slot(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(7)) & np.uint64(COUNTERS - 1)
 
 
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        total += np.bincount(_slot(_flat(batch)[0]).astype(np.int64), minlength=COUNTERS)
-    parts = np.minimum(total, _MOST).astype(np.uint16).reshape(_CHUNKS, -1)
-    if total.any():
-        yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "counts"])
-
-
 def _add_counts(part: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(c, np.uint16).astype(np.int64) for c in part["counts"])
     return pd.DataFrame({"chunk": part["chunk"].iloc[:1].astype("int32"), "counts": [np.minimum(total, _MOST).astype(np.uint16).tobytes()]})
 
 
-def token_frequencies(records: DataFrame) -> np.ndarray:
-    """Upper bounds of how many records hold each token, in a table of fixed size.
+def token_frequencies(counted: DataFrame) -> np.ndarray:
+    """Upper bounds of how many values hold each token, in a table of fixed size.
 
     Tokens share counters, so a count is never too small; the order of tokens by
     these counts is the same everywhere, which is all that exactness needs.
     """
-    # neighbouring partitions are counted together, so the tables that move stay few
-    parts = records.select("tokens").mapInArrow(_count_tokens, "chunk int, counts binary")
-    sums = parts.groupBy("chunk").applyInPandas(_add_counts, "chunk int, counts binary").collect()
+    sums = counted.groupBy("chunk").applyInPandas(_add_counts, "chunk int, counts binary").collect()
     out = np.zeros((_CHUNKS, COUNTERS // _CHUNKS), np.uint16)
     for row in sums:
         out[row["chunk"]] = np.frombuffer(row["counts"], np.uint16)
@@ -133,13 +132,13 @@ def slack_of(band: Column) -> Column:
     return F.when(band < SINGLE_BANDS, 1).otherwise(F.least(F.pow(F.lit(2.0), band.cast("double")) / 8, F.lit(4.0)))
 
 
-def _signatures(frequencies, similarity: float):
+def _signatures(frequencies, words_per_shingle: int, similarity: float):
     """Signatures of each record, in the band of its size and in the next one."""
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = frequencies.value
         for batch in batches:
-            tokens, bounds = _flat(batch)
+            tokens, bounds, _ = token_sets(batch.column("value").to_pylist(), batch.column("kind").to_pylist(), words_per_shingle)
             sizes = np.diff(bounds)
             numbers = np.asarray(batch.column("no"))
             owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -183,6 +182,26 @@ def _rows(signature: np.ndarray, numbers: np.ndarray, band: np.ndarray, own: boo
     return pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(numbers.astype(np.int64)), pa.array(place)], ["signature", "no", "place"])
 
 
+def _similarities(words_per_shingle: int):
+    """Exact similarity of the two values of each candidate."""
+
+    def similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, n = batch.column("kind").to_pylist(), batch.num_rows
+            sides = [token_sets(batch.column(c).to_pylist(), kinds, words_per_shingle) for c in ("value_1", "value_2")]
+            sizes = [np.diff(bounds) for _, bounds, _ in sides]
+            tokens = np.concatenate([t for t, *_ in sides])
+            owner = np.concatenate([np.repeat(np.arange(n), s) for s in sizes])
+            order = np.lexsort((tokens, owner))
+            tokens, owner = tokens[order], owner[order]
+            twice = (tokens[1:] == tokens[:-1]) & (owner[1:] == owner[:-1])
+            common = np.bincount(owner[1:][twice], minlength=n)
+            score = common / np.maximum(sizes[0] + sizes[1] - common, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("rep_1"), batch.column("rep_2"), pa.array(score, pa.float64())], ["rep_1", "rep_2", "similarity"])
+
+    return similarities
+
+
 def near_duplicates(df: DataFrame, id_column: str, value_column: str, kind_column: str, words_per_shingle: int = 5, similarity: float = 0.8, least_words: int = 12) -> tuple[DataFrame, DataFrame]:
     """Pairs of classes ``(rep_a, rep_b, similarity)`` and members ``(id, rep)`` of all classes.
 
@@ -206,14 +225,15 @@ def near_duplicates(df: DataFrame, id_column: str, value_column: str, kind_colum
         raise ValueError("similarity must be 0.5 to 1, and records have at least one shingle")
     spark = df.sparkSession
     slim = df.select(F.col(id_column).cast("string").alias("id"), F.col(value_column).alias("value"), F.col(kind_column).cast("string").alias("kind")).where(F.col("id").isNotNull() & F.col("value").isNotNull())
-    sets = materialize(slim.mapInArrow(_records(words_per_shingle, least_words), "id string, s1 long, s2 long, tokens array<long>"), "near-sets")
-    classes = sets.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min_by("tokens", "id").alias("tokens"))
-    records = materialize(classes.select(F.monotonically_increasing_id().alias("no"), "rep", "n", "s1", "s2", "tokens"), "near-records")
-    copied = skewed_lookup(sets.select("id", "s1", "s2"), records.where(F.col("n") > 1).select("s1", "s2", "rep"), ["s1", "s2"]).select("id", "rep")
+    sets = materialize(slim.mapInArrow(_sets(words_per_shingle, least_words), _SETS), "near-sets")
+    frequencies = spark.sparkContext.broadcast(token_frequencies(sets.where(F.col("chunk").isNotNull()).select("chunk", "counts")))
+    rows = sets.where(F.col("id").isNotNull())
+    classes = rows.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min_by(F.struct("value", "kind"), "id").alias("x"))
+    records = materialize(classes.select(F.monotonically_increasing_id().alias("no"), "rep", "n", "s1", "s2", "x.value", "x.kind"), "near-records")
+    copied = skewed_lookup(rows.select("id", "s1", "s2"), records.where(F.col("n") > 1).select("s1", "s2", "rep"), ["s1", "s2"]).select("id", "rep")
     members = materialize(copied.unionByName(records.where(F.col("n") == 1).select(F.col("rep").alias("id"), "rep")), "near-members")
     discard(sets)
-    frequencies = spark.sparkContext.broadcast(token_frequencies(records))
-    rows = records.select("no", "tokens").mapInArrow(_signatures(frequencies, similarity), "signature long, no long, place byte").repartition("signature")
+    rows = records.select("no", "value", "kind").mapInArrow(_signatures(frequencies, words_per_shingle, similarity), "signature long, no long, place byte").repartition("signature")
     # both sides are one and the same shuffle, which Spark runs once
     a, b = rows.alias("a"), rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
     own = (F.col("a.place").bitwiseOR(F.col("place_b"))).bitwiseAND(F.lit(1).cast("byte")) == 1
@@ -221,11 +241,11 @@ def near_duplicates(df: DataFrame, id_column: str, value_column: str, kind_colum
     band = F.shiftright(F.col("place"), 1)
     shared = met.groupBy("no", "no_b", band.alias("band")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= slack_of(F.col("band")))
     candidates = materialize(shared.select("no", "no_b").distinct(), "near-candidates")
-    left = records.select("no", F.col("rep").alias("rep_1"), F.col("tokens").alias("tokens_1"))
-    right = records.select(F.col("no").alias("no_b"), F.col("rep").alias("rep_2"), F.col("tokens").alias("tokens_2"))
-    common = F.size(F.array_intersect("tokens_1", "tokens_2"))
-    both = candidates.join(left, "no").join(right, "no_b").withColumn("common", common)
-    pairs = both.withColumn("similarity", F.col("common") / (F.size("tokens_1") + F.size("tokens_2") - F.col("common"))).where(F.col("similarity") >= similarity)
+    # texts move, not token sets, which are larger and don't compress
+    left = records.select("no", F.col("rep").alias("rep_1"), F.col("value").alias("value_1"), "kind")
+    right = records.select(F.col("no").alias("no_b"), F.col("rep").alias("rep_2"), F.col("value").alias("value_2"))
+    both = candidates.join(left, "no").join(right, "no_b").select("rep_1", "rep_2", "value_1", "value_2", "kind")
+    pairs = both.mapInArrow(_similarities(words_per_shingle), "rep_1 string, rep_2 string, similarity double").where(F.col("similarity") >= similarity)
     pairs = pairs.select(F.least("rep_1", "rep_2").alias("rep_a"), F.greatest("rep_1", "rep_2").alias("rep_b"), "similarity")
     return materialize(pairs, "near-pairs"), members
 
