@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import is_live
 from ..functions.relevance import DEFAULT, HOUR_MS, Decay
+from ..session import materialize
+from .hotfold import fold_in_parts
+from .skew import HEAVY_SHARE, heavy_hashes
 
+#: Numbers of the log that one part of a hot key's operations spans.
+PART_WIDTH = 1 << 16
 #: A read within this time of the last counted one doesn't count.
 TOUCH_MS = 1000
 STATE_COLUMNS = ["namespace", "key", "value", "memory_type", "expires_at_ms", "embedding", "last_accessed_ms", "relevance", "created_at_ms", "access_count", "pinned"]
@@ -122,7 +127,7 @@ def _frame(rows: list) -> pd.DataFrame:
     return out
 
 
-def replay(ops: DataFrame, as_of_ms: int | None = None, up_to_seq: int | None = None, base: DataFrame | None = None, decay: Decay = DEFAULT, rebase_on_write: bool = False) -> DataFrame:
+def replay(ops: DataFrame, as_of_ms: int | None = None, up_to_seq: int | None = None, base: DataFrame | None = None, decay: Decay = DEFAULT, rebase_on_write: bool = False, hot_share: float = HEAVY_SHARE, part_width: int = PART_WIDTH) -> DataFrame:
     """State (``STATE_COLUMNS``) after the log, on top of a ``base`` state if given.
 
     Operations count once and in the order of ``seq``, whatever order they come
@@ -132,10 +137,11 @@ def replay(ops: DataFrame, as_of_ms: int | None = None, up_to_seq: int | None =
     here: a read of the result filters them by its own time. An empty log gives
     the base, or nothing.
 
-    The fold itself isn't associative (reads count by their distance to the last
-    counted one), so a key's operations since its last deletion pass through one
-    task, sorted and streamed, never held together. Values and embeddings stay
-    out of it: they are looked up by the number of the set that holds.
+    A key's operations since its last deletion are sorted and streamed through a
+    fold, never held together. Keys with at least ``hot_share`` of them are
+    folded in parts of ``part_width`` numbers, side by side (``hotfold``). Values
+    and embeddings stay out of it: they are looked up by the number of the set
+    that holds.
     """
     log = distinct_ops(ops, as_of_ms, up_to_seq)
     kept = log.where(F.col("op").isin("set", "pin", "unpin", "read")).select("namespace", "key", "seq", "op", "ts_ms", F.nullif("ttl_ms", F.lit(0)).alias("ttl_ms"))
@@ -152,7 +158,12 @@ def replay(ops: DataFrame, as_of_ms: int | None = None, up_to_seq: int | None =
         base = base.select(*STATE_COLUMNS).limit(0) if cleared else delete_prefixes(base.select(*STATE_COLUMNS).join(gone, ["namespace", "key"], "left_anti"), prefixes)
         first = base.select("namespace", "key", F.lit(-1).cast("long").alias("seq"), F.lit("base").alias("op"), F.lit(None).cast("long").alias("ts_ms"), F.lit(None).cast("long").alias("ttl_ms"), *kinds)
         kept = kept.unionByName(first)
-    folded = kept.repartition("namespace", "key").sortWithinPartitions("namespace", "key", "seq").mapInPandas(_fold(decay, rebase_on_write), _FOLDED)
+    kept = materialize(kept, "replay-ops")
+    hot = list(heavy_hashes(kept, ["namespace", "key"], hot_share)[0])
+    is_hot = F.xxhash64("namespace", "key").isin(hot) if hot else F.lit(False)
+    folded = kept.where(~is_hot).repartition("namespace", "key").sortWithinPartitions("namespace", "key", "seq").mapInPandas(_fold(decay, rebase_on_write), _FOLDED)
+    if hot:
+        folded = folded.unionByName(fold_in_parts(kept.where(is_hot), decay, TOUCH_MS, rebase_on_write, part_width))
     values = log.where(F.col("op") == "set").select(F.col("seq").alias("set_seq"), "value", "memory_type", "embedding")
     if base is None:
         return folded.join(values, "set_seq").select(*STATE_COLUMNS)

@@ -62,15 +62,24 @@ OPS = st.lists(
 )
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(OPS)
 def test_fold_like_simulator(spark, drawn):
     ops = op_rows(drawn)
     df = spark.createDataFrame(ops[::-1] + ops[:3], LOG)  # out of order, some twice
     assert folded(replay.replay(df)) == simulate(ops)
+    # every key folded in parts of three operations
+    assert folded(replay.replay(df, hot_share=0.0, part_width=3)) == simulate(ops)
     half = len(ops) // 2
     base = replay.replay(df, up_to_seq=half)
     assert folded(replay.replay(df.where(f"seq > {half}"), base=base)) == simulate(ops)
+    assert folded(replay.replay(df.where(f"seq > {half}"), base=base, hot_share=0.0, part_width=4)) == simulate(ops)
+
+
+def test_a_hot_key_among_others(spark):
+    drawn = [(["set", "set", "read", "pin", "unpin", "read"][i * 7 % 6], "n", "hot", [None, 90_000_000, 5_000_000][i % 3], 1_500_000 + i % 900) for i in range(400)] + [("set", "m", f"k{i}", 0, 5) for i in range(60)]
+    ops = op_rows(drawn)
+    assert folded(replay.replay(spark.createDataFrame(ops, LOG), part_width=16)) == simulate(ops)
 
 
 def test_last_writes_tail_and_retention(spark):
