@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import skewed_lookup
 from ..session import materialize
+from .batches import by_size
 from .folding import canonical, class_hashes, same_left_many
 
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_size(batches, "value"):
         h1, h2, left = class_hashes(batch.column("value").to_pylist())
         keep = pa.array(left)
         out = pa.RecordBatch.from_arrays([batch.column("id"), batch.column("value"), pa.array(h1), pa.array(h2)], ["id", "value", "h1", "h2"])
@@ -22,7 +23,7 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_size(batches, "value", "rep_value"):
         values = batch.column("value").to_pylist()
         same = same_left_many(values, batch.column("rep_value").to_pylist())
         odd = [None if ok else canonical(v) for ok, v in zip(same, values)]

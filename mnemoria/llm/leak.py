@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .batches import by_size
 from .words import WORD, words
 
 #: Consecutive words of a seed.
@@ -75,7 +76,7 @@ def _scan(items: Broadcast):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Items = items.value
         number = held.vocabulary.get
-        for batch in batches:
+        for batch in by_size(batches, "text"):
             docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             rows = []
             for doc, text in zip(docs, texts):

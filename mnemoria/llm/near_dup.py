@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import skewed_lookup
 from ..session import discard, materialize
+from .batches import by_size
 from .folding import fields, mix
 from .words import shingles, word_hashes
 
@@ -53,7 +54,7 @@ def _sets(words_per_shingle: int, least_words: int):
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
+        for batch in by_size(batches, "value"):
             values, kinds = batch.column("value").to_pylist(), batch.column("kind").to_pylist()
             keep = [i for i, v in enumerate(values) if fields(v) is None]
             tokens, bounds, n_words = token_sets([values[i] for i in keep], [kinds[i] for i in keep], words_per_shingle)
@@ -137,7 +138,7 @@ def _signatures(frequencies, words_per_shingle: int, similarity: float):
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = frequencies.value
-        for batch in batches:
+        for batch in by_size(batches, "value", limit=2_000_000):
             tokens, bounds, _ = token_sets(batch.column("value").to_pylist(), batch.column("kind").to_pylist(), words_per_shingle)
             sizes = np.diff(bounds)
             numbers = np.asarray(batch.column("no"))
@@ -186,7 +187,7 @@ def _similarities(words_per_shingle: int):
     """Exact similarity of the two values of each candidate."""
 
     def similarities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches, "value_1", "value_2"):
             kinds, n = batch.column("kind").to_pylist(), batch.num_rows
             sides = [token_sets(batch.column(c).to_pylist(), kinds, words_per_shingle) for c in ("value_1", "value_2")]
             sizes = [np.diff(bounds) for _, bounds, _ in sides]

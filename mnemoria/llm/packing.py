@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .batches import by_size
 
 #: Folder of the public tokenizers' vocabulary files; the same path on every executor.
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -39,7 +40,7 @@ def token_counts(df: DataFrame, id_column: str, text_column: str, vocabulary: st
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(path).encode_ordinary
-        for batch in batches:
+        for batch in by_size(batches, "text"):
             sizes = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64())], ["id", "n_tokens"])
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import skewed_lookup
 from ..session import materialize
+from .batches import by_size
 from .pii_train import MODEL, spans
 from .tagger import KINDS, Tagger
 
@@ -93,7 +94,7 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
 
 
 def _tag_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_size(batches, "value"):
         texts = batch.column("value").to_pylist()
         found = find_spans(texts)
         hit = [i for i, f in enumerate(found) if f]

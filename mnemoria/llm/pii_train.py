@@ -84,6 +84,12 @@ class Maker:
     def first(self) -> str:
         return self.r.choice(FIRST_NAMES)
 
+    def word(self) -> str:
+        """A made-up common word, so that an unknown word isn't taken for a name."""
+        r = self.r
+        syllable = lambda: r.choice(["b", "br", "c", "ch", "d", "f", "fj", "fl", "g", "gr", "h", "j", "k", "l", "m", "n", "p", "pl", "r", "s", "sh", "sp", "st", "t", "tr", "v", "w"]) + r.choice(["a", "e", "i", "o", "u", "ea", "oo"]) + r.choice(["", "", "n", "r", "l", "s", "t", "rd", "ck", "nt", "m"])
+        return "".join(syllable() for _ in range(r.choice([1, 2, 2, 2, 3]))) + r.choice(["", "", "y", "er", "ed", "s"])
+
     # --- personal data
 
     def person_name(self) -> str:
@@ -170,7 +176,7 @@ class Maker:
     # --- sentences
 
     def plain(self) -> str:
-        r, N, A, V, P, D, pl = self.r, lambda: self.r.choice(NOUNS), lambda: self.r.choice(ADJECTIVES), lambda: self.r.choice(VERBS), lambda: self.r.choice(PAST), lambda: self.r.choice(ADVERBS), self.place
+        r, N, A, V, P, D, pl = self.r, *[lambda words=words: self.word() if self.r.random() < 0.25 else self.r.choice(words) for words in (NOUNS, ADJECTIVES, VERBS, PAST, ADVERBS)], self.place
         return r.choice(
             [
                 lambda: f"The {A()} {N()} near {pl()} was {P()} after {self.n(1, 999)} {N()} checks and the {N()} stayed {A()}.", lambda: f"Plan is to {V()} the {N()} {D()}, then {V()} the {A()} {N()} and note the {N()}.",
@@ -257,7 +263,7 @@ class Maker:
         rows: list[tuple[str, list[tuple[str, str | None]]]] = []
         for name in r.sample(FIELDS, self.n(2, 5)):
             value = r.choice(
-                [str(self.n(1, 5000)), r.choice(NOUNS), self.place(), r.choice(PAST), f"{r.choice(ADJECTIVES)} {r.choice(NOUNS)}", f"{r.choice(VERBS)} the {r.choice(NOUNS)}, then {r.choice(VERBS)} it", r.choice(PAST)]
+                [str(self.n(1, 5000)), r.choice(NOUNS), self.word(), f"{self.word()} {r.choice(NOUNS)}", f"{r.choice(ADJECTIVES)} {self.word()}", self.place(), r.choice(PAST), f"{r.choice(ADJECTIVES)} {r.choice(NOUNS)}", f"{r.choice(VERBS)} the {r.choice(NOUNS)}, then {r.choice(VERBS)} it", r.choice(PAST)]
             )
             if r.random() < 0.15:
                 value = r.choice([value.upper(), value.title(), value + " ", value + ".", value + "!", value.upper() + "!"])

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .batches import by_size
 
 #: Function words by language, each a class of its own.
 FUNCTION_WORDS = {
@@ -100,7 +101,7 @@ _CODED = "doc_id long, codes binary, counts binary, sizes binary, ends binary"
 
 
 def _code_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_size(batches, "text"):
         rows = [[x.tobytes() for x in segments(t)] for t in batch.column("text").to_pylist()]
         columns = list(zip(*rows)) or [()] * 4
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(list(c), pa.binary()) for c in columns]], ["doc_id", "codes", "counts", "sizes", "ends"])
@@ -145,7 +146,7 @@ def _is_prose(codes: np.ndarray, counts: np.ndarray, segment: np.ndarray, n: int
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in by_size(batches, "sizes"):
         codes, counts, _, segment, doc = _arrays(batch)
         if not len(codes):
             continue
@@ -182,7 +183,7 @@ def _entropies(bits: np.ndarray, codes: np.ndarray, segment: np.ndarray, n: int)
 
 def _prose_moments(model):
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches, "sizes"):
             codes, counts, _, segment, doc = _arrays(batch)
             if len(codes) and len(doc):
                 h = _entropies(model.value.bits, codes, segment, len(doc))[_is_prose(codes, counts, segment, len(doc))]
@@ -193,7 +194,7 @@ def _prose_moments(model):
 
 def _score_pages(bits, low: float, high: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_size(batches, "sizes"):
             codes, counts, sizes, segment, doc = _arrays(batch)
             docs, n = batch.num_rows, len(doc)
             share, perplexity, abnormal_share = np.zeros(docs), np.zeros(docs), np.zeros(docs)

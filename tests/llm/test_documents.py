@@ -149,3 +149,15 @@ def test_segments_cover_the_text():
     codes, counts, sizes, ends = segments("One two. " * 30 + "\n\nx\n" + "word " * 100)
     assert ends[-1] == len(codes) == len(counts) == len(sizes) and list(ends) == sorted(set(ends))
     assert [len(x) for x in segments("")] == [0, 0, 0, 0]
+
+
+def test_batches_by_size_keep_all_rows():
+    import pyarrow as pa
+
+    from mnemoria.llm.batches import by_size
+
+    texts = ["a" * n for n in (3, 0, 50, 4, 4, 4, 120, 1)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts)], ["i", "t"])
+    parts = list(by_size(iter([batch, batch.slice(0, 0)]), "t", limit=12))
+    assert [x for p in parts for x in p.column("i").to_pylist()] == list(range(9)) and [x for p in parts for x in p.column("t").to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column("t").to_pylist()) <= 12 for p in parts)
