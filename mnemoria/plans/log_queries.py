@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import access, replay
 from ..sources import load, snapshot
-from ..session import shared_dir
+from ..session import work_dir
 from ..streaming import jobs
 from .common import AS_OF, LIVE, META_DEFAULT, Catalogue, entries
 
@@ -101,7 +101,7 @@ def op_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/mnemoria/{label}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 @C.add(f"SELECT namespace, key, value, memory_type, expires_at_ms, embedding, last_accessed_ms, relevance, created_at_ms, access_count, pinned FROM entries WHERE {LIVE}")

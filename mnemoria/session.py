@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
@@ -51,6 +50,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+_cleaned: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it is deleted when the driver's process ends."""
+    path = f"{shared_dir(spark)}/mnemoria/{spark.sparkContext.applicationId}"
+    if path not in _cleaned:
+        _cleaned.add(path)
+
+        def clean() -> None:
+            try:
+                _delete(spark, path)
+            except Exception:  # noqa: BLE001 - the session may be gone already
+                pass
+
+        atexit.register(clean)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "step", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
@@ -59,7 +82,7 @@ def materialize(df: DataFrame, label: str = "step", partition_by: list[str] | No
     need. Several passes over one result use this and never compute it twice.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mnemoria/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -69,20 +92,9 @@ def materialize(df: DataFrame, label: str = "step", partition_by: list[str] | No
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized result that nothing reads any more."""
-    spark = df.sparkSession
     for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
         if "/mnemoria/" in path:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    """The session's shuffle partitions: what wide steps that need a number use."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def env_path(name: str, default: str) -> str:
-    return os.environ.get(name, default)
+            _delete(df.sparkSession, path)
 
 
 def ship_package(spark: SparkSession) -> None:
