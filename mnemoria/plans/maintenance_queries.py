@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import capacity, consolidate, mutate, sharing, triggers
 from ..operators.consolidate import Compress, Promote
 from ..sources import load
+from ..streaming.metrics import rate_windows
 from .common import AS_OF, LIVE, LIVE_ENTRIES, Catalogue, decayed_sql, entries
 
 C = Catalogue()
@@ -205,6 +206,25 @@ def evict_lru(spark: SparkSession, d: str) -> DataFrame:
     return capacity.evict_lru(entries(spark, d), _CAPACITY, _shard()).select("namespace", "key")
 
 
+@C.add(f"WITH a AS ({_admit_sql('true')}) SELECT seq, namespace, key FROM a WHERE seq < coalesce((SELECT min(seq) FROM a WHERE NOT accepted), 9223372036854775807)")
+def capacity_batch_stop(spark: SparkSession, d: str) -> DataFrame:
+    admitted = capacity.admit(entries(spark, d), _writes(spark, d), _CAPACITY, _shard(), AS_OF)
+    return capacity.prefix_until_full(admitted).select("seq", "namespace", "key")
+
+
+@C.add("""SELECT namespace, key, value FROM entries e WHERE NOT EXISTS (SELECT 1 FROM ops o WHERE o.op = 'pin' AND o.namespace = e.namespace AND o.key = e.key)
+  UNION ALL SELECT DISTINCT namespace, key, 'forced' FROM ops WHERE op = 'pin'""")
+def forced_merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = entries(spark, d).select("namespace", "key", "value")
+    forced = load(spark, d, "ops").where(F.col("op") == "pin").select("namespace", "key", F.lit("forced").alias("value")).distinct()
+    return mutate.merge_forced(rows, forced)
+
+
+@C.add("SELECT namespace AS client, (ts_ms // 60000) * 60000 AS window_ms, count(*) AS n, greatest(count(*) - 2, 0) AS refused FROM ops WHERE namespace IS NOT NULL AND ts_ms IS NOT NULL GROUP BY ALL")
+def rate_limit_windows(spark: SparkSession, d: str) -> DataFrame:
+    return rate_windows(load(spark, d, "ops"), "namespace", "ts_ms", limit=2)
+
+
 # --- triggers
 
 _MATCH = f"""matches AS (SELECT t.id, t.namespace, e.key, e.value, e.memory_type, {decayed_sql(pinned='e.pinned', relevance='e.relevance', created='e.created_at_ms')} AS relevance, e.created_at_ms, e.access_count

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import keys, vectors
 from ..operators import access, reap, scan, vector_search
-from ..sources import load
+from ..sources import full_key, load
 from ..sources.ingest import embeddings_as_entries, events_as_entries
 from .common import AS_OF, ASKED, CONFIG, LIVE, LIVE_ENTRIES, META_DEFAULT, WITH_META, Catalogue, asked, decayed_sql, entries, overrides
 
@@ -207,4 +208,18 @@ def namespace_metrics(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@C.add("SELECT full_key, split_part(full_key, ':', 1) AS namespace, CASE WHEN contains(full_key, ':') THEN substr(full_key, instr(full_key, ':') + 1) END AS rest, split_part(key, ':', 1) AS segment FROM (SELECT namespace || ':' || key AS full_key, key FROM entries UNION ALL SELECT namespace, key FROM entries)")
+def key_parts(spark: SparkSession, d: str) -> DataFrame:
+    rows = entries(spark, d)
+    both = rows.select(full_key().alias("full_key"), "key").unionByName(rows.select(F.col("namespace").alias("full_key"), "key"))
+    k = F.col("full_key")
+    return both.select("full_key", keys.key_namespace(k).alias("namespace"), keys.key_rest(k).alias("rest"), keys.first_segment(F.col("key")).alias("segment"))
+
+
+@C.add("SELECT vec_id, embedding FROM embeddings")
+def vector_parse(spark: SparkSession, d: str) -> DataFrame:
+    texts = load(spark, d, "embeddings").select("vec_id", F.to_json("embedding").alias("json"))
+    return texts.select("vec_id", vectors.parse_vector(F.col("json")).alias("embedding"))
+
+
 QUERIES, ORACLE = C.queries, C.sql
