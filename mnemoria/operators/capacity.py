@@ -72,5 +72,5 @@ def evict_lru(entries: DataFrame, capacity: int, shard: Column, as_of_ms: int |
 
 def prefix_until_full(writes: DataFrame) -> DataFrame:
     """The writes of a batch before its first refused one, as a batch stops there."""
-    first = writes.where(~F.col("accepted")).agg(F.min("seq").alias("stop"))
-    return writes.join(F.broadcast(first), F.col("stop").isNull() | (F.col("seq") < F.col("stop"))).drop("stop")
+    stop = writes.where(~F.col("accepted")).agg(F.min("seq")).first()[0]
+    return writes if stop is None else writes.where(F.col("seq") < stop)
