@@ -9,7 +9,7 @@ from ..operators.skew import heavy_hashes
 from ..session import materialize
 
 #: Midpoints that one pass counts at for every group.
-SECTIONS = 512
+SECTIONS = 4096
 #: Bytes of a tie key that one level of the code takes; 48 bits are exact in a double.
 CHUNK = 6
 _INF = float("inf")
@@ -55,7 +55,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie_key: str, tie_num
     empty table gives no rows. Columns not named aren't read.
 
     All groups are cut at once: each pass counts, for every group that is still
-    open, the rows above 511 midpoints of its range of codes, accepts what lies
+    open, the rows above 4095 midpoints of its range of codes, accepts what lies
     above the cutoff, drops what lies below, and goes on within the cutoff's
     section, whose ends are the codes that occur there. Counting combines on the
     map side, and the cutoffs of hot groups reach their rows by a broadcast of
