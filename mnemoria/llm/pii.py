@@ -46,7 +46,7 @@ def plausible(kind: str, text: str) -> bool:
     if kind == "phone":
         return 7 <= digits <= 17
     if kind == "id_number":
-        return digits >= 5
+        return digits >= 8 or (digits >= 5 and bool(words))
     if kind == "street_address":
         return digits >= 1 and bool(_STREET.search(text))
     return len(words) >= 2 and digits == 0
