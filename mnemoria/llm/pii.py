@@ -29,6 +29,8 @@ _STREET = re.compile(
     r"\b(?:street|st|road|rd|lane|ln|avenue|ave|av|avenida|boulevard|blvd|close|drive|court|square|terrace|way|place|rue|calle|plaza|via|viale|piazza|quai|chemin|allee|platz|weg|gasse|flat|apt|unit)\b|(?:straße|strasse|str|weg|gasse|allee|platz|ring|damm|ufer)\b",
     re.I,
 )
+#: Common words that no name of a person contains.
+_NO_NAME = set("the of in on at near and or are is was were from to a an no not than then while over again overnight".split())
 
 
 @lru_cache(1)
@@ -49,7 +51,7 @@ def plausible(kind: str, text: str) -> bool:
         return digits >= 8 or (digits >= 5 and bool(words))
     if kind == "street_address":
         return digits >= 1 and bool(_STREET.search(text))
-    return len(words) >= 2 and digits == 0
+    return len(words) >= 2 and digits == 0 and not _NO_NAME & {w.lower() for w in words}
 
 
 def find_spans(texts: list[str], model: Tagger | None = None) -> list[list[tuple[int, int, str]]]:

@@ -38,7 +38,7 @@ market signal dune fern moss orbit pier quarry ridge tower tree well yard zone a
 token treaty viaduct theatre granary cluster cabinet charter template invoice schedule battery manuscript summary dialect province district river lake
 maple birch dock hull amber copper cliff estuary forge glacier granite heron column catalogue chapel church clover comet compass conveyor council crater
 fresco furnace garden gateway lichen lighthouse library meadow monument mosaic nebula orchard otter outline parish pendulum piston plateau quartz recipe
-replica reservoir rudder sandstone shuttle sparrow spindle spruce station ticket turbine workshop bobbin barley barrel basalt beetle boiler budget buffer
+replica reservoir rudder sandstone shuttle sparrow spindle spruce station ticket turbine workshop bobbin barley barrel beetle boiler budget buffer
 button window letter coffee doctor winter summer morning table chair paper garden street school player""".split()
 ADJECTIVES = """dry wet old new late early cool warm round flat steep dark pale bright calm loud rare common local remote inner outer upper lower quiet noisy idle busy
 thin thick fresh stale rural urban annual broken hollow crimson wooden marble rugged brittle damp dense faint fertile formal frozen hidden heavy inland
