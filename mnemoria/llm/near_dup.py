@@ -179,8 +179,9 @@ def _signatures(frequencies, words_per_shingle: int, similarity: float):
 
 
 def _rows(signature: np.ndarray, numbers: np.ndarray, band: np.ndarray, own: bool) -> pa.RecordBatch:
-    place = (2 * band + own).astype(np.int8)
-    return pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(numbers.astype(np.int64)), pa.array(place)], ["signature", "no", "place"])
+    """Signatures with their record and place in one number: record, band, and whether it is the record's own band."""
+    who = (numbers.astype(np.int64) << 8) | (2 * band + own).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(signature.view(np.int64)), pa.array(who)], ["signature", "who"])
 
 
 def _similarities(words_per_shingle: int):
@@ -234,13 +235,14 @@ def near_duplicates(df: DataFrame, id_column: str, value_column: str, kind_colum
     copied = skewed_lookup(rows.select("id", "s1", "s2"), records.where(F.col("n") > 1).select("s1", "s2", "rep"), ["s1", "s2"]).select("id", "rep")
     members = materialize(copied.unionByName(records.where(F.col("n") == 1).select(F.col("rep").alias("id"), "rep")), "near-members")
     discard(sets)
-    rows = records.select("no", "value", "kind").mapInArrow(_signatures(frequencies, words_per_shingle, similarity), "signature long, no long, place byte").repartition("signature")
+    rows = records.select("no", "value", "kind").mapInArrow(_signatures(frequencies, words_per_shingle, similarity), "signature long, who long").repartition("signature")
     # both sides are one and the same shuffle, which Spark runs once
-    a, b = rows.alias("a"), rows.select(*[F.col(c).alias(f"{c}_b") for c in rows.columns])
-    own = (F.col("a.place").bitwiseOR(F.col("place_b"))).bitwiseAND(F.lit(1).cast("byte")) == 1
-    met = a.hint("merge").join(b, (F.col("a.signature") == F.col("signature_b")) & (F.col("a.no") < F.col("no_b")) & own)
-    band = F.shiftright(F.col("place"), 1)
-    shared = met.groupBy("no", "no_b", band.alias("band")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= slack_of(F.col("band")))
+    a, b = rows, rows.select(F.col("signature").alias("signature_b"), F.col("who").alias("who_b"))
+    number = lambda c: F.shiftright(c, 8)
+    own = F.col("who").bitwiseOR(F.col("who_b")).bitwiseAND(F.lit(1).cast("long")) == 1
+    met = a.hint("merge").join(b, (F.col("signature") == F.col("signature_b")) & (number("who") < number("who_b")) & own)
+    band = F.shiftright(F.col("who").bitwiseAND(F.lit(255).cast("long")), 1)
+    shared = met.groupBy(number("who").alias("no"), number("who_b").alias("no_b"), band.alias("band")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= slack_of(F.col("band")))
     candidates = materialize(shared.select("no", "no_b").distinct(), "near-candidates")
     # texts move, not token sets, which are larger and don't compress
     left = records.select("no", F.col("rep").alias("rep_1"), F.col("value").alias("value_1"), "kind")
