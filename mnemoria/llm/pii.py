@@ -30,7 +30,7 @@ _STREET = re.compile(
     re.I,
 )
 #: Common words that no name of a person contains.
-_NO_NAME = set("the of in on at near and or are is was were from to a an no not than then while over again overnight".split())
+_NO_NAME = set("the of in on at near and are was were from not than then while over again overnight".split())
 
 
 @lru_cache(1)
