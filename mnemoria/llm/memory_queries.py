@@ -76,6 +76,15 @@ def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_neighbours(_entries(spark, folder), "id", "embedding", k=5, least=0.8, dims=64)
 
 
+_SQL_NEAR = """
+WITH v AS (SELECT namespace || ':' || key AS id, CAST(embedding AS DOUBLE[]) AS e FROM entries WHERE len(embedding) = 64
+  AND len(list_filter(embedding, lambda x: x IS NULL OR CAST(x AS VARCHAR) IN ('nan', 'inf', '-inf'))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (SELECT a.id, b.id AS neighbour, list_cosine_similarity(a.e, b.e) AS similarity FROM v a JOIN v b ON a.id <> b.id),
+nearest AS (SELECT * FROM scored WHERE similarity >= 0.8 QUALIFY row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) <= 5)
+"""
+P3_FOUND = _SQL_NEAR + "SELECT DISTINCT least(id, neighbour) AS key_a, greatest(id, neighbour) AS key_b FROM nearest"
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = p3_neighbours(spark, folder)
     return pairs.select(F.least("id", "neighbour").alias("key_a"), F.greatest("id", "neighbour").alias("key_b")).distinct()
@@ -105,4 +114,4 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_copy_counts, p3_found, p3_neighbours, p7_found, p7_top_five)}
-ORACLE = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_copy_counts": P2_COPY_COUNTS, "p7_found": P7_FOUND, "p7_top_five": P7_TOP_FIVE}
+ORACLE = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_copy_counts": P2_COPY_COUNTS, "p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_top_five": P7_TOP_FIVE}
