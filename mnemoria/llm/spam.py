@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,19 +34,24 @@ SALES_WORDS = set(
 SEGMENT_TOKENS = 32
 #: A segment is abnormal when its cross-entropy lies this many standard deviations from that of prose.
 DEVIATIONS = 3.0
-#: A segment advertises when at least this share of its words are sales words, prices or outward links.
-AD_SHARE = 0.4
+#: A segment advertises when at least this share of it is tags or links, or of its words recur on the page.
+AD_SHARE = 0.3
+#: A word recurs if the page has it so often, and once in so many words.
+LEAST_REPEATS, REPEAT_WORDS = 3, 200
 #: A page is spam when more than this share of its text lies in abnormal segments that advertise.
 PAGE_SHARE = 0.5
 
-_TOKEN = re.compile(r"https?://[^\s\]<>|\"']+|\d+[.,]\d\d(?![\d.,]\d)|\d+|[^\W\d_]+|\[\[|\]\]|\{\{|\}\}|\{\||\|\}|\|\||\|-|=+|'{2,}|\n|[^\w\s]")
+_TOKEN = re.compile(r"https?://[^\s\]<>|\"']+|#[^\W_]\w+|</?[A-Za-z]+|\d+[.,]\d\d(?![\d.,]\d)|\d+|[^\W\d_]+|\[\[|\]\]|\{\{|\}\}|\{\||\|\}|\|\||\|-|=+|'{2,}|\n|[^\w\s]")
 _MARKS = list(".,;:!?()|*#<>/-–\"'") + ["[[", "]]", "{{", "}}", "{|", "|}", "||", "|-", "=", "''", "[", "]"]
-_OTHER = ["word", "sale", "capital", "upper", "number", "price", "year", "link", "mark"]
+_OTHER = ["word", "sale", "capital", "upper", "number", "price", "year", "link", "tag", "mark"]
 _NAMES = ["edge", *_OTHER, *_MARKS, *dict.fromkeys(w for ws in FUNCTION_WORDS.values() for w in ws)]
 CLASS = {name: i for i, name in enumerate(_NAMES)}
 N_CLASSES = len(_NAMES)
-#: Of a token: counts as a word, is sales talk, is a link, is a price.
-WORD, SALE, LINK, PRICE = 1, 2, 4, 8
+#: Of a token: counts as a word, is sales talk, is a link, is a price, is one of several tags in a row, is a word of letters with a meaning, recurs on its page, makes no sense.
+WORD, SALE, LINK, PRICE, TAG, CONTENT, REPEAT, NONSENSE = 1, 2, 4, 8, 16, 32, 64, 128
+#: Words that can't be spoken, and function words read backwards: what vandals type.
+_UNSPOKEN = re.compile(r"^[bcdfghjklmnpqrstvwxz]{2,}$|[bcdfghjklmnpqrstvwxz]{6}|[jqx][bdfgjklmnqrsvwxz]|[fghjkmpqstvwxz]j")
+_BACKWARDS = {w[::-1] for ws in FUNCTION_WORDS.values() for w in ws if len(w) > 1}
 
 
 @lru_cache(200_000)
@@ -54,6 +60,8 @@ def classify(token: str) -> tuple[int, int]:
     if token.startswith("http"):
         sale = SALE if SALES_WORDS & set(re.findall(r"[^\W\d_]+", token.lower())) else 0
         return (CLASS["link"], WORD | LINK | sale) if "://" in token else (CLASS["word"], WORD)
+    if token[0] == "#" and len(token) > 1:
+        return CLASS["tag"], WORD
     if token[0].isdigit():
         if not token.isdigit():
             return CLASS["price"], WORD | PRICE
@@ -61,12 +69,15 @@ def classify(token: str) -> tuple[int, int]:
     lower = token.lower()
     if token[0].isalpha():
         sale = SALE if lower in SALES_WORDS else 0
+        content = CONTENT if len(lower) > 1 else 0
+        if _UNSPOKEN.search(lower) or lower in _BACKWARDS:
+            content |= NONSENSE
         if lower in CLASS and len(lower) <= 9 and not sale and lower not in _OTHER:
             return CLASS[lower], WORD
         if sale:
-            return CLASS["sale"], WORD | SALE
-        return CLASS["upper" if len(token) > 1 and token.isupper() else "capital" if token[0].isupper() else "word"], WORD
-    key = "=" if token[0] == "=" else "''" if token.startswith("''") else token
+            return CLASS["sale"], WORD | SALE | content
+        return CLASS["upper" if len(token) > 1 and token.isupper() else "capital" if token[0].isupper() else "word"], WORD | content
+    key = "<" if token[0] == "<" else "=" if token[0] == "=" else "''" if token.startswith("''") else token
     return CLASS.get(key, CLASS["mark"]), 0
 
 
@@ -77,6 +88,10 @@ def segments(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     short piece stays with the next of its line.
     """
     tokens = _TOKEN.findall(text)
+    times = Counter(map(str.lower, tokens))
+    least = max(LEAST_REPEATS, len(tokens) / REPEAT_WORDS)
+    repeated = {t for t, n in times.items() if n >= least}
+    tag = CLASS["tag"]
     codes = np.empty(len(tokens), np.uint8)
     counts = np.empty(len(tokens), np.uint8)
     ends, since = [], 0
@@ -87,7 +102,14 @@ def segments(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
                 ends.append(i)
             since = 0
             continue
-        codes[i], counts[i] = classify(token)
+        code, count = classify(token)
+        if count & CONTENT and token.lower() in repeated:
+            count |= REPEAT
+        elif code == tag and i and codes[i - 1] == tag:
+            # a tag alone is a redirect or an item of a numbered list
+            count |= TAG
+            counts[i - 1] |= TAG
+        codes[i], counts[i] = code, count
         since += 1
         if since >= SEGMENT_TOKENS or (token in ".!?" and since >= 6):
             ends.append(i + 1)
@@ -145,6 +167,30 @@ def _is_prose(codes: np.ndarray, counts: np.ndarray, segment: np.ndarray, n: int
     return (words >= 6) & (function * 5 >= words) & (markup == 0) & (stop >= 1) & (sales * 4 <= words)
 
 
+def _advertises(codes: np.ndarray, counts: np.ndarray, sizes: np.ndarray, segment: np.ndarray, n: int) -> np.ndarray:
+    """Segments without sentences that are full of tags in a row, of outward links, or of words that recur on the page; no list of words is asked.
+
+    Sources have a year beside each link, tables numbers, lists of pages inner
+    links, and what is typed without sense or backwards has words to tell it: those don't count.
+    """
+    total = lambda mask: np.bincount(segment[mask], minlength=n)
+    of = lambda flag: total((counts & flag) > 0)
+    words, links, content = of(WORD), of(LINK), of(CONTENT)
+    chars = lambda mask: np.bincount(segment[mask], weights=sizes[mask], minlength=n)
+    bare = (total(codes >= _FUNCTION_FROM) * 5 < words) & (words > 0)
+    years = total(codes == CLASS["year"])
+    tags = of(TAG) >= AD_SHARE * words
+    outward = (chars((counts & LINK) > 0) >= AD_SHARE * chars(codes != 0)) & (years * 2 < links)
+    # links and prices among recurring words count with them
+    ads, told = of(REPEAT | PRICE | LINK | TAG), content + of(PRICE | LINK | TAG)
+    recurs = (ads >= AD_SHARE * told) & (told >= 2) & ((links == 0) | (years < links))
+    # a number right after a recurring word ("size 40") is of a product
+    labelled = np.concatenate([[False], (counts[:-1] & REPEAT) > 0])[: len(codes)]
+    data = total(((codes == CLASS["number"]) | (codes == CLASS["year"])) & ~labelled) * 2 > words
+    inner = total(codes == CLASS["[["]) * 4 > words
+    return bare & (tags | outward | recurs & ~data & ~inner & (of(NONSENSE) * 5 < words))
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in by_size(batches, "sizes"):
         codes, counts, _, segment, doc = _arrays(batch)
@@ -199,13 +245,12 @@ def _score_pages(bits, low: float, high: float):
             docs, n = batch.num_rows, len(doc)
             share, perplexity, abnormal_share = np.zeros(docs), np.zeros(docs), np.zeros(docs)
             if len(codes) and n:
-                per = lambda mask: np.bincount(segment[mask], minlength=n)
                 h = _entropies(bits.value, codes, segment, n)
-                words = per((counts & WORD) > 0)
-                ads = per((counts & (SALE | PRICE)) > 0) + per((counts & LINK) > 0)
                 chars = np.bincount(segment, weights=sizes + 1, minlength=n)
                 abnormal = (h < low) | (h > high)
-                advert = abnormal & (ads >= AD_SHARE * np.maximum(words, 1)) & (per((counts & SALE) > 0) > 0)
+                # a run of any words without a function word needs no unusual classes
+                words, function = (np.bincount(segment[x], minlength=n) for x in ((counts & WORD) > 0, codes >= _FUNCTION_FROM))
+                advert = (abnormal | (words >= 8) & (function * 20 < words)) & _advertises(codes, counts, sizes, segment, n)
                 whole = np.maximum(np.bincount(doc, weights=chars, minlength=docs), 1)
                 share = np.bincount(doc[advert], weights=chars[advert], minlength=docs) / whole
                 abnormal_share = np.bincount(doc[abnormal], weights=chars[abnormal], minlength=docs) / whole
@@ -226,8 +271,10 @@ def score_pages(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     function words are classes of their own, other words fall into a few, links,
     prices, numbers and marks have theirs. ``abnormal_share`` is the share of a
     text in segments whose cross-entropy is abnormally high or low against all
-    sentences, ``advert_share`` the part of those that consist of sales talk,
-    links and prices. Null texts are left out; an empty text has shares of 0.
+    sentences. ``advert_share`` is the share in segments that are abnormal or have
+    no function words, and are full of tags in a row, outward links, prices or
+    words that recur on the page. The list of sales words makes a class of the
+    model and decides nothing by itself. Null texts are left out; an empty text has shares of 0.
     Repeated rows and ids come out as often as they come in. An empty table gives
     no rows; other columns aren't read.
 

@@ -145,6 +145,19 @@ def test_spam_pages_and_pages_that_only_look_odd(spark):
     assert spam_pages(df.where("doc_id >= 900"), "doc_id", "text").count() == 0
 
 
+def test_spam_without_any_listed_word(spark):
+    r = random.Random(5)
+    stems, places = ["kopula", "marfen", "tilost", "gerani", "bosk"], ["Zelrara", "Galkiberg", "Torsin", "Ulmnor", "Fosgor", "Rilmoquen", "Drenavik"]
+    glued = [" ".join("#" + "".join(r.sample(stems, 2) + [r.choice(places)]) for _ in range(40))]
+    spam = [*glued, " ".join(r.choice(stems + places[:1]) for _ in range(120)), ", ".join(" ".join(r.sample(stems, 2) + [r.choice(places)]) for _ in range(50)), "\n".join(f"* [https://a{i}-bosk.example/{i} kopula marfen]" for i in range(12))]
+    names = "".join(f"#{r.choice(places)}{chr(97 + i)}\n" for i in range(20))
+    backwards = (PROSE * 3)[::-1]
+    fine = [names, backwards, PROSE * 6 + "\n" + glued[0][:200], "#REDIRECT [[Torsin]]", "#redirect [[Torsin]]\n#redirect [[Ulmnor]]"]
+    rows = list(enumerate(spam + fine)) + [(100 + i, PROSE * 3) for i in range(60)]
+    found = sorted(x["doc_id"] for x in spam_pages(spark.createDataFrame(rows, DOCS), "doc_id", "text").collect())
+    assert found == list(range(len(spam)))
+
+
 def test_segments_cover_the_text():
     codes, counts, sizes, ends = segments("One two. " * 30 + "\n\nx\n" + "word " * 100)
     assert ends[-1] == len(codes) == len(counts) == len(sizes) and list(ends) == sorted(set(ends))
