@@ -17,7 +17,7 @@ from .words import WORD, words
 
 #: Consecutive words of a seed.
 SEED_WORDS = 5
-#: Of each so many consecutive words of a passage the rarest seed is looked for, so a copy of so many words is never missed.
+#: A copy of so many consecutive words scores enough to be reported.
 WINDOW_WORDS = 10
 #: Words of test items that one pass holds in memory on each executor; more items take more passes.
 BLOCK_WORDS = 2_000_000
@@ -55,19 +55,24 @@ class Items:
         # a passage shorter than a seed is looked for as a whole
         self.lengths = sorted({min(SEED_WORDS, len(x)) for x in self.ids.values() if len(x)})
         self.grams = {i: _gram_codes(x, min(SEED_WORDS, len(x))) for i, x in self.ids.items() if len(x)}
-        self.all_grams = np.unique(np.concatenate([np.zeros(0, np.int64), *self.grams.values()]))
-
-    def seeds(self, counts: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
-        """For each seed the items and places it is looked for at: the rarest in the corpus of each window."""
-        out: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for item, grams in self.grams.items():
-            width = max(1, WINDOW_WORDS - SEED_WORDS + 1)
-            for start in range(max(1, len(grams) - width + 1)):
-                window = [(counts[g], i) for i, g in enumerate(grams[start : start + width].tolist(), start) if g in counts]
-                if window:
-                    place = min(window)[1]
-                    out[int(grams[place])].add((item, place))
-        return {g: sorted(x) for g, x in out.items()}
+        each = [np.zeros(0, np.int64), *self.grams.values()]
+        grams = np.concatenate(each)
+        order = np.argsort(grams, kind="stable")
+        #: Seeds in order, as often as items hold them, with the item and the place of each.
+        self.sorted = grams[order]
+        self.item_of = np.repeat(np.array([0, *self.grams], np.int64), [len(g) for g in each])[order]
+        self.place_of = np.concatenate([np.arange(len(g), dtype=np.int32) for g in each])[order]
+        self.all_grams = np.unique(grams)
+
+    def starts(self, grams: list[int], places: list[int]) -> dict[int, list[int]]:
+        """For each item with a seed among these the places of the text where the item would begin."""
+        out: dict[int, set[int]] = defaultdict(set)
+        wanted = np.array(grams, np.int64)
+        first, last = (np.searchsorted(self.sorted, wanted, side) for side in ("left", "right"))
+        for place, a, b in zip(places, first.tolist(), last.tolist()):
+            for item, at in zip(self.item_of[a:b].tolist(), self.place_of[a:b].tolist()):
+                out[item].add(place - at)
+        return {item: sorted(found) for item, found in out.items()}
 
 
 def _scan(items: Broadcast):
@@ -135,23 +140,20 @@ def longest_run(passage: np.ndarray, text: np.ndarray) -> int:
     return best
 
 
-def _verify(items: Broadcast, seeds: Broadcast, least_score: int):
+def _verify(items: Broadcast, least_score: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        passages, wanted = items.value.ids, seeds.value
+        held: Items = items.value
         for batch in batches:
             out = []
             for doc, ids, grams, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "grams", "places"))):
-                starts = defaultdict(list)
-                for gram, place in zip(grams, places):
-                    for item, at in wanted.get(gram, ()):
-                        starts[item].append(place - at)
-                if not starts:
-                    continue
                 text = np.array(ids, np.int32)
-                for item, found in starts.items():
-                    passage = passages[item]
-                    best = None
-                    for low, high in _regions(sorted(found), len(passage), len(text)):
+                for item, found in held.starts(grams, places).items():
+                    passage = held.ids[item]
+                    best, regions = None, _regions(found, len(passage), len(text))
+                    # no alignment scores more than the words of the passage that the text has
+                    if max(np.isin(passage, text[a:b]).sum() for a, b in regions) * MATCH < min(least_score, MATCH * len(passage)):
+                        continue
+                    for low, high in regions:
                         part = text[low:high]
                         score, equal, columns, first, last = align(passage, part)
                         candidate = (score, longest_run(passage, part), equal, columns, low + first, low + last)
@@ -184,15 +186,15 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
 
     A document is reported for an item if a local alignment of their words scores
     at least ``least_score`` (or the whole passage, if that is shorter): whole
-    copies, parts and edited copies. ``identity`` is the share of equal words in
+    copies, parts and edited copies. The two must share five words in a row
+    somewhere; edits that leave no five words together aren't looked for. ``identity`` is the share of equal words in
     the alignment, ``covered`` the share of the passage's words. Null and empty
     texts and passages without words have no leaks. An empty table on either side gives no rows. Repeated rows are
     reported once. Other columns aren't read.
 
     The corpus is read once for each block of items. Texts are scanned where they
-    lie for seeds of five words; seeds are then counted over the whole corpus,
-    and of every ten words of a passage the rarest seed decides which documents
-    are aligned. Only documents with a seed go on, as word numbers. What is
+    lie for seeds of five words; every seed of an item that a document holds has
+    the two aligned around it, whatever other documents hold. Only documents with a seed go on, as word numbers. What is
     broadcast are the items of one block, at most ``BLOCK_WORDS`` words.
     """
     spark = documents.sparkSession
@@ -206,8 +208,6 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
         block = Items([(r["item_id"], r["passage"]) for r in part.distinct().collect()])
         items_b = spark.sparkContext.broadcast(block)
         hits = materialize(texts.mapInArrow(_scan(items_b), _SEQUENCE), "leak-hits")
-        counts = hits.select(F.explode("grams").alias("gram")).groupBy("gram").count()
-        seeds_b = spark.sparkContext.broadcast(block.seeds({r["gram"]: r["count"] for r in counts.collect()}))
-        found = hits.mapInArrow(_verify(items_b, seeds_b, least_score), _FOUND)
+        found = hits.mapInArrow(_verify(items_b, least_score), _FOUND)
         out = found if out is None else out.unionByName(found)
     return out.distinct()

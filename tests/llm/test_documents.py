@@ -105,6 +105,18 @@ def test_edited_copies_are_found(spark):
     assert rows[0]["longest_run"] == 8 and rows[0]["identity"] > 0.8 and rows[0]["covered"] > 0.8 and rows[0]["from_word"] in range(99, 103)
 
 
+def test_edited_copies_are_found_beside_whole_copies(spark):
+    r = random.Random(9)
+    words = passage(r, 60).split()
+    edited = [w if i % 9 else "other" for i, w in enumerate(words)]
+    # what one copy leaves whole the other breaks
+    shifted = [w if (i + 5) % 9 else "else" for i, w in enumerate(words)]
+    texts = [" ".join(words), " ".join(edited), " ".join(shifted), passage(r, 300), " ".join(words[20:26])]
+    df = spark.createDataFrame([(i, passage(r, 100) + " " + t + " " + passage(r, 100)) for i, t in enumerate(texts)] + [(10 + i, " ".join(words)) for i in range(3)], DOCS)
+    rows = find_leaks(df, spark.createDataFrame([(7, " ".join(words))], "item_id long, passage string")).collect()
+    assert sorted(x["doc_id"] for x in rows) == [0, 1, 2, 10, 11, 12] and all(x["score"] >= 80 for x in rows)
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     from mnemoria.llm import leak
 
