@@ -21,14 +21,18 @@ from .tagger import KINDS, Tagger
 
 #: What stands for each kind in the text.
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "street_address": "[ADDRESS]", "person_name": "[PERSON]"}
-#: Spans of one kind closer than this are one.
+#: Spans of one kind closer than this are one, unless what parts them shows that they are two.
 JOIN_GAP = 2
+#: What can lie inside one piece, and what parts pieces of a list.
+_INSIDE = re.compile(r"[ .\-‑–]?")
+_PARTING = re.compile(r"\s*[,;/]\s*")
 _AT = re.compile(r"@|\bat\b", re.I)
 #: Words for streets and dwellings, whole or as the end of a word.
 _STREET = re.compile(
     r"\b(?:street|st|road|rd|lane|ln|avenue|ave|av|avenida|boulevard|blvd|close|drive|court|square|terrace|way|place|rue|calle|plaza|via|viale|piazza|quai|chemin|allee|platz|weg|gasse|flat|apt|unit)\b|(?:straße|strasse|str|weg|gasse|allee|platz|ring|damm|ufer)\b",
     re.I,
 )
+_DWELLING = re.compile(r"\b(?:flat|apt|unit)\b", re.I)
 #: Common words that no name of a person contains.
 _NO_NAME = set("the of in on at near and are was were from not than then while over again overnight".split())
 
@@ -54,6 +58,58 @@ def plausible(kind: str, text: str) -> bool:
     return len(words) >= 2 and digits == 0 and not _NO_NAME & {w.lower() for w in words}
 
 
+def _alone(kind: str, text: str) -> bool:
+    """Whether a part of a list is a piece of its own; a flat or unit goes with the street."""
+    return plausible(kind, _DWELLING.sub("", text) if kind == "street_address" else text)
+
+
+def _joins(kind: str, text: str, before: list[int], after: tuple[int, int]) -> bool:
+    """Whether two spans of one kind that are close are one piece."""
+    gap = text[before[1] : after[0]]
+    if len(gap) > JOIN_GAP:
+        return False
+    if _INSIDE.fullmatch(gap):
+        return plausible(kind, text[before[0] : after[1]]) or not (plausible(kind, text[slice(*before)]) or plausible(kind, text[slice(*after)]))
+    left, right = _alone(kind, text[slice(*before)]), _alone(kind, text[slice(*after)])
+    # the second part of a number or an address ("030/23125", "12 High Street, Town") can't stand alone, of a name ("Miller, Jane") the first
+    return not (left and right) if kind in ("phone", "street_address") else not left
+
+
+def _same_form(text: str, piece: str, at: int) -> re.Match | None:
+    """A number of the form of ``piece`` that begins in ``text`` at a place."""
+    return re.compile("".join(r"\d" if c.isdigit() else re.escape(c) for c in piece) + r"(?!\d)").match(text, at)
+
+
+def _parts(kind: str, text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """A piece, cut where it is a list of several."""
+    for cut in _PARTING.finditer(text, a, b):
+        if kind == "id_number" and "/" in cut.group():
+            continue
+        if _alone(kind, text[a : cut.start()]):
+            if _alone(kind, text[cut.end() : b]):
+                return [(a, cut.start()), *_parts(kind, text, cut.end(), b)]
+            if kind == "phone" and _same_form(text, text[a : cut.start()], cut.end()):
+                return [(a, cut.start())]
+    if kind == "phone" and not plausible(kind, text[a:b]):
+        # two or more numbers with nothing but spaces between: cut where the parts are most alike
+        cuts = [m for m in re.finditer(r"\s+", text[a:b]) if plausible(kind, text[a : a + m.start()])]
+        size = b - a
+        for m in sorted(cuts, key=lambda m: abs(size - m.start() - m.end())):
+            rest = _parts(kind, text, a + m.end(), b)
+            if all(plausible(kind, text[x:y]) for x, y in rest):
+                return [(a, a + m.start()), *rest]
+    return [(a, b)]
+
+
+def _listed(text: str, b: int, piece: str) -> list[tuple[int, int]]:
+    """Numbers of the same form that follow a phone number in a list, however they are tagged."""
+    out = []
+    while (cut := _PARTING.match(text, b)) and (more := _same_form(text, piece, cut.end())):
+        out.append(more.span())
+        b = more.end()
+    return out
+
+
 def find_spans(texts: list[str], model: Tagger | None = None) -> list[list[tuple[int, int, str]]]:
     """``(from, to, kind)`` of each piece of personal data in each text, in order and without overlap."""
     out = []
@@ -63,7 +119,7 @@ def find_spans(texts: list[str], model: Tagger | None = None) -> list[list[tuple
             for number, kind in enumerate(KINDS, 1):
                 pieces: list[list[int]] = []
                 for a, b in spans(labels == number):
-                    if pieces and a - pieces[-1][1] <= JOIN_GAP:
+                    if pieces and _joins(kind, text, pieces[-1], (a, b)):
                         pieces[-1][1] = b
                     else:
                         pieces.append([a, b])
@@ -78,9 +134,12 @@ def find_spans(texts: list[str], model: Tagger | None = None) -> list[list[tuple
                         a += 1
                     while b > a and not text[b - 1].isalnum() and not (text[b - 1] == ")" and "(" in text[a:b]):
                         b -= 1
-                    if plausible(kind, text[a:b]):
-                        found.append((a, b, kind))
-            found.sort()
+                    for a, b in _parts(kind, text, a, b):
+                        if plausible(kind, text[a:b]):
+                            found.append((a, b, kind))
+                            if kind == "phone":
+                                found += [(*x, kind) for x in _listed(text, b, text[a:b])]
+            found = sorted(set(found), key=lambda x: (x[0], -x[1]))
             found = [x for i, x in enumerate(found) if not i or x[0] >= max(y[1] for y in found[:i])]
         out.append(found)
     return out
