@@ -54,13 +54,24 @@ def plausible(kind: str, text: str) -> bool:
     if kind == "id_number":
         return digits >= 8 or (digits >= 5 and bool(words))
     if kind == "street_address":
-        return digits >= 1 and bool(_STREET.search(text))
+        # a bare number, or one with a single word, is doubtful and needs a word for a street
+        return digits >= 1 and (bool(_STREET.search(text)) or (digits <= 10 and sum(len(w) > 1 for w in words) >= 2))
     return len(words) >= 2 and digits == 0 and not _NO_NAME & {w.lower() for w in words}
 
 
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int]:
+    """A name without the common words and marks at its ends."""
+    words = [m.span() for m in re.finditer(r"[^\W\d_]+", text[a:b])]
+    common = [text[a + x : a + y].lower() in _NO_NAME for x, y in words]
+    if not words or all(common):
+        return a, b
+    first, last = common.index(False), len(common) - 1 - common[::-1].index(False)
+    return a + words[first][0] if first else a, a + words[last][1] if last < len(words) - 1 else b
+
+
 def _alone(kind: str, text: str) -> bool:
-    """Whether a part of a list is a piece of its own; a flat or unit goes with the street."""
-    return plausible(kind, _DWELLING.sub("", text) if kind == "street_address" else text)
+    """Whether a part of a list is a piece of its own; a flat, floor or town goes with the street."""
+    return plausible(kind, text) and (kind != "street_address" or bool(_STREET.search(_DWELLING.sub("", text))))
 
 
 def _joins(kind: str, text: str, before: list[int], after: tuple[int, int]) -> bool:
@@ -135,6 +146,8 @@ def find_spans(texts: list[str], model: Tagger | None = None) -> list[list[tuple
                     while b > a and not text[b - 1].isalnum() and not (text[b - 1] == ")" and "(" in text[a:b]):
                         b -= 1
                     for a, b in _parts(kind, text, a, b):
+                        if kind == "person_name":
+                            a, b = _trimmed(text, a, b)
                         if plausible(kind, text[a:b]):
                             found.append((a, b, kind))
                             if kind == "phone":

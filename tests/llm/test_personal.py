@@ -80,6 +80,24 @@ def test_pieces_side_by_side_stay_apart():
         assert redact(text, find_spans([text])[0]) == want
 
 
+def test_what_the_tagger_finds_is_kept():
+    for text, want in {
+        "Deliver it to Am Markt 4, Munneberg.": "Deliver it to [ADDRESS].",
+        "Deliver it to 12 Station Crescent, Munneberg.": "Deliver it to [ADDRESS].",
+        "Deliver it to 10 Park Row, Selwick.": "Deliver it to [ADDRESS].",
+    }.items():
+        assert redact(text, find_spans([text])[0]) == want
+
+    class Overrun:
+        """Labels what stands between braces as a name."""
+
+        def label(self, texts):
+            return [np.where((np.cumsum([c in "{}" for c in t]) % 2 == 1), KINDS.index("person_name") + 1, 0) for t in texts]
+
+    for text, want in {"{Priya Wenabb was} here": "{[PERSON] was} here", "so {the Clara Fosann} wrote": "so {the [PERSON]} wrote", "{was at the} mill": "{was at the} mill", "{Priya near the mill} now": "{Priya near the mill} now"}.items():
+        assert redact(text, find_spans([text], Overrun())[0]) == want
+
+
 def test_operators_on_all_cases(spark):
     mail = "cc clara.fosann(at)fosnelab.example on every draft"
     rows = [("e", 1, mail, "x"), ("e", 1, mail, "x"), ("f", 2, None, "x"), ("g", 3, "", "x"), ("h", 4, "nothing here", "x"), ("i", 5, '{"requester": "Ms Velobb", "tel": "1-415-555-0166"}', "x"), ("j", 6, ("quiet mill. " * 900) + mail, "x")]
