@@ -86,14 +86,16 @@ def read_state(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(ENTRIES).parquet(f"{root}/state").select(*replay.STATE_COLUMNS)
 
 
-def count_stream(log: DataFrame, path: str, checkpoint: str, window: str = "1 day", lateness: str = "60 days") -> StreamingQuery:
+def count_stream(log: DataFrame, path: str, checkpoint: str, window: str = "1 day", lateness: str | None = None) -> StreamingQuery:
     """Operations per namespace, kind and window of event time.
 
-    Repeated deliveries are dropped by number within the watermark. Each batch
+    Repeated deliveries are dropped by number. All operations count, however late
+    they come, and the numbers seen are kept as state; with ``lateness`` that is
+    bounded, and operations further behind the newest are left out. Each batch
     writes the counts so far; the last one written holds.
     """
-    at = F.timestamp_millis("ts_ms")
-    rows = log.where(F.col("namespace").isNotNull()).withColumn("at", at).withWatermark("at", lateness).dropDuplicates(["seq"])
+    rows = log.where(F.col("namespace").isNotNull()).withColumn("at", F.timestamp_millis("ts_ms"))
+    rows = (rows.withWatermark("at", lateness) if lateness else rows).dropDuplicates(["seq"])
     counts = rows.groupBy("namespace", "op", F.window("at", window)).agg(F.count(F.lit(1)).alias("n"))
     shaped = counts.select("namespace", "op", F.unix_millis("window.start").alias("day_ms"), "n")
 

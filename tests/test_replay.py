@@ -108,3 +108,12 @@ def test_stream_equals_batch_and_fires_triggers(spark, tmp_path):
     jobs.trigger_stream(source, root, f"{tmp_path}/ck2", registry, lambda rows, now: seen.append(rows.count()), lambda rows: 5_100).awaitTermination()
     assert seen == [2]
     assert jobs.expiry_sweep(spark, root, 10_000) == 1 and jobs.read_state(spark, root).count() == 1
+
+
+def test_stream_counts_a_log_of_many_months(spark, tmp_path):
+    day = 86_400_000
+    rows = [(i, "set", f"n{i % 3}", f"k{i}", "v", "semantic", None, None, 1_700_000_000_000 + i * day) for i in range(200)]
+    spark.createDataFrame(rows + rows[:20], LOG).write.parquet(f"{tmp_path}/ops")
+    jobs.count_stream(jobs.read_log(spark, f"{tmp_path}/ops", f"{tmp_path}/staged", files_per_batch=1), f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert len(got) == 200 and all(r["n"] == 1 for r in got)
