@@ -8,7 +8,7 @@ import pytest
 
 from mnemoria.llm.leak import Items, align, find_leaks, longest_run
 from mnemoria.llm.packing import OpenBins, pack, pack_sizes, token_counts
-from mnemoria.llm.spam import score_pages, segments, spam_pages
+from mnemoria.llm.spam import encode, page_shares, score_pages, segment_scores, spam_pages
 
 DOCS = "doc_id long, text string"
 
@@ -170,10 +170,25 @@ def test_spam_without_any_listed_word(spark):
     assert found == list(range(len(spam)))
 
 
+def test_the_model_decides(spark):
+    # sentences about one thing repeat its words as advertising does; only their perplexity tells them apart
+    r = random.Random(6)
+    stems = ["kopula", "marfen", "tilost"]
+    calm = " ".join(f"The {r.choice(stems)} of Torsin is near the {r.choice(stems)}, and the {r.choice(stems)} was built with a {r.choice(stems)} in it." for _ in range(12))
+    stuffed = " ".join(r.choice(stems) for _ in range(120))
+    rows = [(1, calm), (2, stuffed)] + [(100 + i, PROSE * 3) for i in range(60)] + [(200 + i, calm) for i in range(5)]
+    scored, low, high = segment_scores(spark.createDataFrame(rows, DOCS), "doc_id", "text")
+    flagged = lambda lo, hi: {x["doc_id"] for x in page_shares(scored, lo, hi).where("advert_share > 0.5").collect()}
+    assert low < high and flagged(low, high) == {2}
+    assert {1, 2} <= flagged(float("inf"), float("inf"))
+    assert flagged(float("-inf"), float("inf")) == set()
+
+
 def test_segments_cover_the_text():
-    codes, counts, sizes, ends = segments("One two. " * 30 + "\n\nx\n" + "word " * 100)
-    assert ends[-1] == len(codes) == len(counts) == len(sizes) and list(ends) == sorted(set(ends))
-    assert [len(x) for x in segments("")] == [0, 0, 0, 0]
+    codes, flags, lengths, ends, sizes = encode(["One two. " * 30 + "\n\nx\n" + "word " * 100, "", "last"])
+    assert len(codes) == len(flags) == len(lengths) == len(ends) == sizes.sum() and sizes[1] == 0 and ends[-1]
+    assert max(np.diff(np.flatnonzero(np.concatenate([[True], ends])))) <= 33
+    assert ends[sizes[0] - 1] and [len(x) for x in encode([])] == [0] * 5 and encode([""])[4].tolist() == [0]
 
 
 def test_batches_by_size_keep_all_rows():
