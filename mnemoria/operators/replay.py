@@ -13,7 +13,7 @@ from ..functions.keys import is_live
 from ..functions.relevance import DEFAULT, HOUR_MS, Decay
 from ..session import materialize
 from .hotfold import fold_in_parts
-from .skew import HEAVY_SHARE, heavy_hashes
+from .skew import heavy_hashes
 
 #: Numbers of the log that one part of a hot key's operations spans.
 PART_WIDTH = 1 << 16
@@ -127,7 +127,7 @@ def _frame(rows: list) -> pd.DataFrame:
     return out
 
 
-def replay(ops: DataFrame, as_of_ms: int | None = None, up_to_seq: int | None = None, base: DataFrame | None = None, decay: Decay = DEFAULT, rebase_on_write: bool = False, hot_share: float = HEAVY_SHARE, part_width: int = PART_WIDTH) -> DataFrame:
+def replay(ops: DataFrame, as_of_ms: int | None = None, up_to_seq: int | None = None, base: DataFrame | None = None, decay: Decay = DEFAULT, rebase_on_write: bool = False, hot_share: float | None = None, part_width: int = PART_WIDTH) -> DataFrame:
     """State (``STATE_COLUMNS``) after the log, on top of a ``base`` state if given.
 
     Operations count once and in the order of ``seq``, whatever order they come

@@ -3,62 +3,90 @@
 Two-stage salted aggregation: heavy keys get a salt, partial results are made
 per key and salt, and the partials are merged by the original key. Heavy keys
 are found by a bounded frequent-items sketch in one pass, so that no count per
-key has to exist before the work is split.
+key has to exist before the work is split. What counts as heavy follows the
+number of shuffle partitions.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is split when it holds at least this share of the rows.
+from ..session import materialize
+
+#: A key is split at the latest when it holds this share of the rows.
 HEAVY_SHARE = 0.01
-#: Counters of the sketch; its error is below rows / SKETCH_ITEMS * 2, far under HEAVY_SHARE.
-SKETCH_ITEMS = 16384
-#: A sketch can name at most 1 / HEAVY_SHARE keys with that share, plus those within its error.
-SKETCH_TOP = 256
+#: Counters of the sketch for each key that can hold the share asked for; its error is far below that share.
+SKETCH_FACTOR = 16
 #: Pieces of one heavy key for each whole share that it holds.
 SALTS_PER_SHARE = 4
+#: Rows of a lookup are broadcast only when they are measured to be smaller than this.
+BROADCAST_BYTES = 32 << 20
 
 _SALT, _HASH = "__salt", "__key_hash"
 
 
-def heavy_hashes(df: DataFrame, keys: list[str], share: float = HEAVY_SHARE) -> tuple[dict[int, int], int]:
+def heavy_share(spark: SparkSession) -> float:
+    """The share from which a key is split: what one shuffle partition of even size holds, and ``HEAVY_SHARE`` at most.
+
+    On ten thousand partitions a key with a thousandth of the rows is ten of them.
+    """
+    return min(HEAVY_SHARE, 1 / max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def heavy_hashes(df: DataFrame, keys: list[str], share: float | None = None) -> tuple[dict[int, int], int]:
     """Hashes of the keys that hold at least ``share`` of the rows, with estimates, and the rows.
 
-    The driver gets at most ``SKETCH_TOP`` pairs of numbers. A light key whose
-    hash equals a heavy one's is only split needlessly; results don't change.
+    The driver gets at most ``2 / share`` pairs of numbers, which depends on the
+    size of the cluster and not on the data. A light key whose hash equals a heavy
+    one's is only split needlessly; results don't change.
     """
-    row = df.select(F.xxhash64(*keys).alias("h")).agg(
-        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {SKETCH_TOP}, {SKETCH_ITEMS})").alias("top")
-    ).first()
+    share = share or heavy_share(df.sparkSession)
+    items = min(1_000_000, max(16384, round(SKETCH_FACTOR / share)))
+    top = min(items, max(256, round(2 / share)))
+    row = df.select(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(h, {top}, {items})").alias("top")).first()
     total = row["n"] or 0
-    slack = 2 * total / SKETCH_ITEMS
+    slack = 2 * total / items
     return {x["item"]: x["count"] for x in row["top"] or [] if x["count"] + slack >= share * total}, total
 
 
-def add_salt(df: DataFrame, keys: list[str], heavy: dict[int, int], total: int, spread: list[str] | None = None) -> DataFrame:
-    """``df`` with ``__salt``: 0 for light keys, else a number by the rest of the row.
+def pieces_of(heavy: dict[int, int], total: int, share: float) -> dict[int, list[int]]:
+    """Numbers of pieces (powers of two, so that there are few) with the key hashes that are cut into so many."""
+    by_pieces: dict[int, list[int]] = {}
+    for h, n in heavy.items():
+        wanted = max(2, round(SALTS_PER_SHARE * n / max(1, share * total)))
+        by_pieces.setdefault(1 << (wanted - 1).bit_length(), []).append(h)
+    return by_pieces
+
+
+def _by_key(code: Column, by_pieces: dict[int, list[int]], make) -> Column:
+    """``make(pieces)`` for rows of heavy keys, else null."""
+    chosen = None
+    for n, hashes in by_pieces.items():
+        hit = code.isin(hashes)
+        chosen = F.when(hit, make(n)) if chosen is None else chosen.when(hit, make(n))
+    return F.lit(None) if chosen is None else chosen
+
 
-    The salt is a hash, not ``rand()``, so a task that runs again after a lost
-    executor sends every row to the same place.
+def add_salt(df: DataFrame, keys: list[str], heavy: dict[int, int], total: int, share: float = HEAVY_SHARE) -> DataFrame:
+    """``df`` with ``__salt``: 0 for light keys, else one of the key's pieces.
+
+    The salt is a hash of the partition that a row is in and of the rest of the row. A
+    row has no other columns where rows are only counted, and rows may repeat in
+    full: the partition parts those, too. Both are the same when a task runs
+    again after a lost executor, which ``rand()`` or a row's place in the output of a
+    shuffle isn't. Within a partition equal rows combine before they move.
     """
-    spread = spread or [c for c in df.columns if c not in keys] or keys
-    if not heavy:
-        return df.withColumn(_SALT, F.lit(0))
-    pieces = {h: max(2, round(SALTS_PER_SHARE * n / max(1, HEAVY_SHARE * total))) for h, n in heavy.items()}
-    by_pieces: dict[int, list[int]] = {}
-    for h, n in pieces.items():
-        by_pieces.setdefault(1 << (n - 1).bit_length(), []).append(h)
-    code, mix = F.xxhash64(*keys), F.xxhash64(F.lit(7), *spread)
-    salt = reduce(lambda acc, x: acc.when(code.isin(x[1]), F.pmod(mix, F.lit(x[0]))), by_pieces.items(), F.when(F.lit(False), F.lit(0).cast("long")))
-    return df.withColumn(_SALT, salt.otherwise(F.lit(0)).cast("int"))
+    rest = [c for c in df.columns if c not in keys]
+    mix = F.xxhash64(F.lit(7), F.spark_partition_id(), *rest)
+    salt = _by_key(F.xxhash64(*keys), pieces_of(heavy, total, share), lambda n: F.pmod(mix, F.lit(n)))
+    return df.withColumn(_SALT, F.coalesce(salt, F.lit(0)).cast("int"))
 
 
 def salted_aggregate(
-    df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str | None]], share: float = HEAVY_SHARE
+    df: DataFrame, keys: list[str], aggs: dict[str, tuple[str, str | None]], share: float | None = None
 ) -> DataFrame:
     """Aggregates per key in two stages, without an imbalance by heavy keys.
 
@@ -73,8 +101,9 @@ def salted_aggregate(
     taken = sorted({c for _, c in aggs.values() if c})
     slim = df.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`").alias(f"__v_{c}") for c in taken])
     names = [f"__k{i}" for i in range(len(keys))]
+    share = share or heavy_share(df.sparkSession)
     heavy, total = heavy_hashes(slim, names, share)
-    salted = add_salt(slim, names, heavy, total)
+    salted = add_salt(slim, names, heavy, total, share)
     first: list[Column] = []
     last: list[Column] = []
     distinct = {out: c for out, (kind, c) in aggs.items() if kind == "count_distinct"}
@@ -109,20 +138,36 @@ def salted_aggregate(
 
 def heavy_keys(df: DataFrame, key: str, share: float = HEAVY_SHARE) -> DataFrame:
     """``(heavy_key, n)``: the non-null values of ``key`` with at least ``share`` of all rows, null keys included in the rows."""
-    total = df.count()
-    counts = salted_aggregate(df.select(F.col(f"`{key}`").alias("heavy_key")), ["heavy_key"], {"n": ("count", None)}, share)
-    return counts.where(F.col("heavy_key").isNotNull() & (F.col("n") >= F.lit(share * total)))
+    counts = salted_aggregate(df.select(F.col(f"`{key}`").alias("heavy_key")), ["heavy_key"], {"n": ("count", None)}, min(share, heavy_share(df.sparkSession)))
+    return counts.where(F.col("heavy_key").isNotNull() & (F.col("n") >= F.lit(share * df.count())))
+
+
+def _width(lookup: DataFrame) -> Column:
+    """Bytes of a row, by the length of its text where a column has no fixed width."""
+    fixed = ("bigint", "int", "smallint", "tinyint", "double", "float", "boolean", "date", "timestamp", "timestamp_ntz")
+    return sum((F.lit(8) if kind in fixed else F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c, kind in lookup.dtypes), F.lit(0)).cast("long")
 
 
-def skewed_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", share: float = HEAVY_SHARE) -> DataFrame:
+def skewed_lookup(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", share: float | None = None) -> DataFrame:
     """Join ``rows`` to ``lookup`` (one row per key) where some keys are hot in ``rows``.
 
-    The lookup rows of heavy keys, about ``1 / share`` of them and never more
-    than ``SKETCH_TOP``, are broadcast; all others meet by a shuffle in which no
-    key is heavy. ``how`` is ``inner`` or ``left``.
+    ``how`` is ``inner`` or ``left``; a null key meets nothing. The lookup rows of
+    heavy keys are written out and measured. Below ``BROADCAST_BYTES`` they are
+    broadcast, and hot rows don't move. Else hot rows are salted and the lookup row
+    of a heavy key is repeated for each of its salts. All others meet by a shuffle
+    in which no key is heavy.
     """
-    heavy, _ = heavy_hashes(rows, keys, share)
+    share = share or heavy_share(rows.sparkSession)
+    heavy, total = heavy_hashes(rows, keys, share)
     if not heavy:
         return rows.join(lookup, keys, how)
-    hot = F.xxhash64(*keys).isin(list(heavy))
-    return rows.where(hot).join(F.broadcast(lookup.where(hot)), keys, how).unionByName(rows.where(~hot).join(lookup.where(~hot), keys, how))
+    code = F.xxhash64(*keys)
+    hot = code.isin(list(heavy))
+    few = materialize(lookup.where(hot), "hot-lookup")
+    if (few.agg(F.sum(_width(few))).first()[0] or 0) <= BROADCAST_BYTES:
+        met = rows.where(hot).join(F.broadcast(few), keys, how)
+    else:
+        by_pieces = pieces_of(heavy, total, share)
+        salts = F.explode(_by_key(code, by_pieces, lambda n: F.array(*[F.lit(i) for i in range(n)])))
+        met = add_salt(rows.where(hot), keys, heavy, total, share).join(few.withColumn(_SALT, salts), [*keys, _SALT], how).drop(_SALT)
+    return met.unionByName(rows.where(~hot).join(lookup.where(~hot), keys, how))

@@ -35,15 +35,23 @@ def local_session(app: str = "mnemoria", cpus: int = 8, memory: str = "12g", par
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether a master runs everything in one JVM; ``local-cluster`` doesn't."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made and removed again when the process ends.
+    Where the session names none, a local session (tests on one machine) gets a
+    temporary folder, which is removed again when the process ends. On a cluster no
+    folder of one machine would do, so the session is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not is_local(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="mnemoria-")
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
     atexit.register(lambda: __import__("shutil").rmtree(made, ignore_errors=True))
@@ -92,8 +100,9 @@ def materialize(df: DataFrame, label: str = "step", partition_by: list[str] | No
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized result that nothing reads any more."""
+    own = work_dir(df.sparkSession).split(":", 1)[-1].lstrip("/")
     for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if "/mnemoria/" in path:
+        if path.split(":", 1)[-1].lstrip("/").startswith(own + "/"):
             _delete(df.sparkSession, path)
 
 

@@ -37,3 +37,19 @@ def test_stream_figures(spark, tmp_path):
         time.sleep(0.1)
     spark.streams.removeListener(progress)
     assert progress.figures["figures"]["rows"] == 5
+
+
+def test_working_files(spark, tmp_path):
+    from mnemoria.session import discard, is_local, materialize, work_dir
+
+    assert is_local("local") and is_local("local[8]") and not is_local("local-cluster[2,1,1024]") and not is_local("spark://host:7077") and not is_local("yarn")
+    kept = materialize(spark.range(5), "test")
+    assert kept.count() == 5 and kept.inputFiles()[0].split(":", 1)[1].lstrip("/").startswith(work_dir(spark).split(":", 1)[1].lstrip("/"))
+    other = f"{tmp_path}/mnemoria/other"
+    spark.range(3).write.parquet(other)
+    discard(spark.read.parquet(other))
+    assert spark.read.parquet(other).count() == 3
+    discard(kept)
+    import os
+
+    assert not any(os.path.exists(f.split(":", 1)[1].replace("///", "/")) for f in kept.inputFiles())

@@ -3,9 +3,10 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from mnemoria.operators.changes import snapshot_changes, validity_intervals
-from mnemoria.operators.skew import heavy_hashes, heavy_keys, salted_aggregate, skewed_lookup
+from mnemoria.operators.skew import add_salt, heavy_hashes, heavy_keys, salted_aggregate, skewed_lookup
 
 SNAP = "snapshot_ms long, key string, value string, relevance double, received_ms long"
 
@@ -26,6 +27,41 @@ def test_salted_aggregate_equals_plain(spark):
     assert by[None]["n"] == 1
 
 
+def test_salts_split_a_heavy_key_that_is_only_counted(spark):
+    df = spark.range(0, 40000, 1, 40).selectExpr("CASE WHEN id % 10 < 7 THEN 'hot' ELSE 'k' || id END AS k")
+    heavy, total = heavy_hashes(df, ["k"])
+    salts = add_salt(df, ["k"], heavy, total).groupBy("k").agg(F.countDistinct("__salt").alias("n")).where("n > 1").collect()
+    assert [(r["k"], r["n"] >= 20) for r in salts] == [("hot", True)]
+    plan = salted_aggregate(df, ["k"], {"n": ("count", None)})
+    assert "hashpartitioning(__k0" in (text := plan._jdf.queryExecution().toString()) and "__salt" in text
+    # rows that repeat in full have nothing but their partition to part them
+    assert rows(heavy_keys(df, "k", 0.5)) == [("hot", 28000)]
+    again = df.selectExpr("k", "1 AS v")
+    assert add_salt(again, ["k"], heavy, total).where("k = 'hot'").select("__salt").distinct().count() >= 20
+
+
+def test_wide_lookups_are_salted_and_not_broadcast(spark, monkeypatch):
+    from mnemoria.operators import skew
+
+    df = spark.createDataFrame([("hot", i) for i in range(900)] + [(f"k{i}", i) for i in range(600)] + [("none", 0), (None, 1)], "k string, v int").repartition(6)
+    lookup = spark.createDataFrame([("hot", "x" * 5000)] + [(f"k{i}", "c") for i in range(600)], "k string, x string")
+    want = {how: rows(df.join(lookup, ["k"], how)) for how in ("inner", "left")}
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 1000)
+    for how in want:
+        assert rows(skewed_lookup(df, lookup, ["k"], how)) == want[how]
+
+
+def test_what_is_heavy_follows_the_partitions(spark):
+    df = spark.range(1000).selectExpr("CASE WHEN id < 6 THEN 'six' ELSE 'k' || id END AS k")
+    assert heavy_hashes(df, ["k"])[0] == {}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        assert list(heavy_hashes(df, ["k"])[0].values()) == [6]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_clashing_names_extra_columns_and_empty(spark):
     df = spark.createDataFrame([("a", 1, "x", 0)], "k string, __salt int, __k0 string, n int")
     assert rows(salted_aggregate(df, ["k"], {"n": ("count", None), "__salt": ("sum", "__salt")})) == [("a", 1, 1)]
