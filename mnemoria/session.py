@@ -98,12 +98,20 @@ def materialize(df: DataFrame, label: str = "step", partition_by: list[str] | No
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _plain_path(path: str) -> str:
+    """``file:/x`` and ``file:///x`` are the same."""
+    scheme, _, rest = path.rpartition(":/") if path.count("://") == 0 else path.partition("://")
+    return f"{scheme}:{rest.lstrip('/')}"
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized result that nothing reads any more."""
-    own = work_dir(df.sparkSession).split(":", 1)[-1].lstrip("/")
+    spark = df.sparkSession
+    own = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    prefix = _plain_path(own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()) + "/"
     for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if path.split(":", 1)[-1].lstrip("/").startswith(own + "/"):
-            _delete(df.sparkSession, path)
+        if _plain_path(path).startswith(prefix):
+            _delete(spark, path)
 
 
 def ship_package(spark: SparkSession) -> None:
