@@ -72,10 +72,14 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 P7_FOUND = f"SELECT DISTINCT namespace, key, fire_id FROM ({P7_TOP_FIVE})"
 
-def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest_neighbours(_entries(spark, folder), "id", "embedding", k=5, least=0.8, dims=64)
 
 
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return _neighbours(spark, folder).withColumn("similarity", F.round("similarity", 6))
+
+
 _SQL_NEAR = """
 WITH v AS (SELECT namespace || ':' || key AS id, CAST(embedding AS DOUBLE[]) AS e FROM entries WHERE len(embedding) = 64
   AND len(list_filter(embedding, lambda x: x IS NULL OR CAST(x AS VARCHAR) IN ('nan', 'inf', '-inf'))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -86,7 +90,7 @@ P3_FOUND = _SQL_NEAR + "SELECT DISTINCT least(id, neighbour) AS key_a, greatest(
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = p3_neighbours(spark, folder)
+    pairs = _neighbours(spark, folder)
     return pairs.select(F.least("id", "neighbour").alias("key_a"), F.greatest("id", "neighbour").alias("key_b")).distinct()
 
 
@@ -113,5 +117,21 @@ def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
     return classes_with_links(*near_duplicates(_entries(spark, folder), "id", "value", "memory_type"))
 
 
+P1_CLASSES = (
+    "WITH "
+    + _SQL_FIELDS
+    + """, worded AS (SELECT id, memory_type, string_split(trim(regexp_replace(lower(value), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w
+  FROM parts WHERE NOT coalesce(is_json, false) AND NOT is_list),
+grams AS (SELECT DISTINCT id, memory_type, gram FROM (SELECT id, memory_type, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS gram
+  FROM (SELECT id, memory_type, w, unnest(range(1, len(w) - 3)) AS i FROM worded WHERE len(w) >= 12))),
+sets AS (SELECT id, memory_type, string_agg(gram, '|' ORDER BY gram) AS form, count(*) AS n FROM grams GROUP BY id, memory_type),
+classed AS (SELECT id, memory_type, n, min(id) OVER same AS rep, count(*) OVER same AS copies FROM sets WINDOW same AS (PARTITION BY memory_type, form)),
+firsts AS (SELECT g.* FROM grams g JOIN classed c ON c.id = g.id AND c.id = c.rep),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM firsts a JOIN firsts b ON a.gram = b.gram AND a.memory_type IS NOT DISTINCT FROM b.memory_type AND a.id <> b.id GROUP BY a.id, b.id),
+linked AS (SELECT s.a AS rep, count(*) AS links FROM shared s JOIN classed x ON x.id = s.a JOIN classed y ON y.id = s.b WHERE s.n >= 0.8 * (x.n + y.n - s.n) GROUP BY s.a)
+SELECT id, classed.rep, copies, coalesce(links, 0) AS links FROM classed LEFT JOIN linked ON linked.rep = classed.rep
+"""
+)
+P3_NEIGHBOURS = _SQL_NEAR + "SELECT id, neighbour, round(similarity, 6) AS similarity FROM nearest"
 QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_copy_counts, p3_found, p3_neighbours, p7_found, p7_top_five)}
-ORACLE = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p2_copy_counts": P2_COPY_COUNTS, "p3_found": P3_FOUND, "p7_found": P7_FOUND, "p7_top_five": P7_TOP_FIVE}
+ORACLE = {"p1_found": P1_FOUND, "p1_classes": P1_CLASSES, "p2_found": P2_FOUND, "p2_copy_counts": P2_COPY_COUNTS, "p3_found": P3_FOUND, "p3_neighbours": P3_NEIGHBOURS, "p7_found": P7_FOUND, "p7_top_five": P7_TOP_FIVE}
