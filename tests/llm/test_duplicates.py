@@ -145,3 +145,29 @@ def test_many_copies_of_one_text_are_one_class(spark):
     found, members = near_duplicates(df, "id", "value", "kind")
     assert pairs(found.select("rep_a", "rep_b")) == [("c0000", "near")] and members.count() == 501
     assert {(r["copies"], r["links"]) for r in classes_with_links(found, members).collect()} == {(500, 1), (1, 1)}
+
+
+def test_counts_are_added_in_rounds(spark, monkeypatch):
+    import numpy as np
+
+    counts = np.zeros((2, near_dup.COUNTERS), np.uint16)
+    counts[0, 5], counts[1, 9] = 7, 3
+    rows = [(c, p.tobytes()) for c, p in enumerate(counts.reshape(near_dup._CHUNKS, -1))] * 9
+    df = spark.createDataFrame(rows, "chunk int, counts binary").repartition(9)
+    once = near_dup.token_frequencies(df)
+    monkeypatch.setattr(near_dup, "GROUP_PARTS", 4)
+    assert (near_dup.token_frequencies(df) == once).all()
+    assert once[0, 5] == near_dup._levels(np.array([63]))[0] and once[1, 9] == near_dup._levels(np.array([27]))[0] and (once > 0).sum() == 2
+
+
+@pytest.mark.parametrize(("k", "t", "spare"), [(3, 0.5, 1.5), (5, 0.8, 1.5), (5, 0.8, 0.1), (3, 0.7, 0.4)])
+def test_hot_signatures_and_crowded_segments_lose_no_pair(spark, k, t, spare):
+    rows = corpus(11, 220, 12)
+    df = spark.createDataFrame(rows, "id string, value string, kind string")
+    if spare < 1:
+        # too few segments: records fall back to single tokens
+        tokens, bounds, _ = near_dup.token_sets([v for _, v, _ in rows], [x for *_, x in rows], k)
+        assert 0 < near_dup.covered(tokens, bounds, t, spare).sum() < len(rows)
+    found, members = near_duplicates(df, "id", "value", "kind", k, t, spare=spare, hot_records=4)
+    assert pairs(expand_pairs(found, members).distinct()) == brute(rows, k, t)
+    assert found.count() == found.select("rep_a", "rep_b").distinct().count()
