@@ -1,8 +1,10 @@
 """Skip-and-fold: what is left of a text when only its letters and digits count.
 
 A lookup table sends each character to 0 (skip) or to the code of its lower-case
-form. Hashes and comparisons run over the table's output, array by array; the
-canonical strings themselves are never built.
+form. Hashes take the table's output block by block: a skipped character weighs
+nothing, and the weight of a kept one follows from a running count. Comparisons move
+two pointers over the texts as they are and skip what the table skips. What is left
+is never put together.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ MODULI = (2147483647, 2147483629)
 BASES = (1000003, 736338717)
 
 _TABLE_END = 0x3000
+#: Characters that go through the table at once.
+BLOCK = 1 << 16
 
 
 def _fold(char: str) -> int:
@@ -39,13 +43,8 @@ def fold_codes(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-def stream(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Folded codes of all texts in one array, and the bounds of each text in it, skipped characters left out."""
-    codes = fold_codes(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32))
-    kept = codes != 0
-    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
-    counts = np.concatenate([[0], np.cumsum(kept)])
-    return codes[kept], np.concatenate([[0], counts[ends]]) if len(texts) else np.zeros(1, np.int64)
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 @lru_cache(8)
@@ -58,18 +57,43 @@ def _powers(modulus: int, base: int, log_size: int) -> np.ndarray:
     return out
 
 
+def _power(modulus: int, base: int, place: np.ndarray) -> np.ndarray:
+    """Powers of the base, by two tables that stay small for texts of any length."""
+    low = _powers(modulus, base, 16)[place & 0xFFFF]
+    top = int(place.max(initial=0)) >> 16
+    return low if not top else low * _powers(modulus, pow(base, 1 << 16, modulus), top.bit_length())[place >> 16] % np.uint64(modulus)
+
+
 def poly_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 31-bit polynomial hashes of each folded text, as one 62-bit number and one again under another mix, and its folded length."""
-    codes, bounds = stream(texts)
-    sizes = np.diff(bounds)
-    where = np.arange(len(codes)) - np.repeat(bounds[:-1], sizes)
-    log_size = int(max(sizes.max(initial=1), 1) - 1).bit_length()
-    parts = []
-    for modulus, base in zip(MODULI, BASES):
-        terms = codes.astype(np.uint64) * _powers(modulus, base, log_size)[where] % np.uint64(modulus)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
-        parts.append((sums[bounds[1:]] - sums[bounds[:-1]]) % np.uint64(modulus))
-    return (parts[0] << np.uint64(31)) | parts[1], mix(parts[0] * np.uint64(0x9E3779B97F4A7C15) ^ parts[1] ^ sizes.astype(np.uint64)), sizes
+    """Two 31-bit polynomial hashes of what is left of each text, as one 62-bit number and one again under another mix, and how many characters are left.
+
+    The texts run through the table in blocks; a count of kept characters runs along
+    and gives each its power of the base.
+    """
+    n = len(texts)
+    lengths = np.fromiter(map(len, texts), np.int64, n)
+    ends = np.cumsum(lengths)
+    codes = code_points("".join(texts))
+    sums, sizes = [np.zeros(n, np.uint64) for _ in MODULI], np.zeros(n, np.int64)
+    for since in range(0, len(codes), BLOCK):
+        folded = fold_codes(codes[since : since + BLOCK])
+        kept = folded != 0
+        first = int(np.searchsorted(ends, since, "right"))
+        last = int(np.searchsorted(ends, since + len(folded), "left"))
+        # where each text of the block begins in it, texts without characters too
+        starts = np.maximum(ends[first : last + 1] - lengths[first : last + 1] - since, 0)
+        whose = np.repeat(np.arange(first, last + 1), np.diff(np.append(starts, len(folded))))
+        count = np.cumsum(kept)
+        before = np.where(starts > 0, count[starts - 1], 0)
+        place = np.maximum(count - 1 - before[whose - first] + sizes[whose], 0)
+        for total, modulus, base in zip(sums, MODULI, BASES):
+            terms = folded.astype(np.uint64) * _power(modulus, base, place) % np.uint64(modulus)
+            run = np.concatenate([[np.uint64(0)], np.cumsum(terms, dtype=np.uint64)])
+            bounds = np.append(starts, len(folded))
+            total[first : last + 1] = (total[first : last + 1] + run[bounds[1:]] - run[bounds[:-1]]) % np.uint64(modulus)
+        sizes[first : last + 1] += np.bincount(whose - first, weights=kept, minlength=last + 1 - first).astype(np.int64)
+    with np.errstate(over="ignore"):
+        return (sums[0] << np.uint64(31)) | sums[1], mix(sums[0] * np.uint64(0x9E3779B97F4A7C15) ^ sums[1] ^ sizes.astype(np.uint64)), sizes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -147,49 +171,50 @@ def class_hashes(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return h1.view(np.int64), h2.view(np.int64), left
 
 
-def _reduced(text: str) -> tuple[int, ...]:
-    return tuple(stream([text])[0].tolist())
-
+def same_text(a: str, b: str, block: int = 4096) -> bool:
+    """Whether the same is left of two texts: two pointers run over both and skip what the table skips.
 
-def same_left(a: str, b: str) -> bool:
-    """Whether the same is left of two values, compared exactly.
-
-    Two pointers run over both texts and skip what the table skips; here the
-    positions of kept characters are the pointers, advanced together.
+    Each step takes a block from either pointer on, compares as many kept
+    characters as both blocks hold, and moves each pointer behind the last one compared.
     """
-    fa, fb = fields(a), fields(b)
-    if (fa is None) != (fb is None):
-        return False
-    if fa is None:
-        x, y = stream([a])[0], stream([b])[0]
-        return len(x) == len(y) and bool(np.array_equal(x, y))
-    reduce = lambda f: {p for p in ((_reduced(n), _reduced(v)) for n, v in f) if p != ((), ())}
-    return reduce(fa) == reduce(fb)
-
-
-def same_left_many(left: list[str], right: list[str]) -> np.ndarray:
-    """``same_left`` for many pairs; plain texts are compared in one pass over both streams."""
-    out = np.zeros(len(left), bool)
-    plain = [i for i, (a, b) in enumerate(zip(left, right)) if fields(a) is None and fields(b) is None]
-    rest = set(range(len(left))) - set(plain)
-    if plain:
-        x, xb = stream([left[i] for i in plain])
-        y, yb = stream([right[i] for i in plain])
-        even = np.diff(xb) == np.diff(yb)
-        keep_x, keep_y = np.repeat(even, np.diff(xb)), np.repeat(even, np.diff(yb))
-        differ = np.concatenate([[0], np.cumsum(x[keep_x] != y[keep_y])])
-        ends = np.cumsum(np.where(even, np.diff(xb), 0))
-        wrong = np.diff(np.concatenate([[0], differ[ends]]))
-        out[plain] = even & (wrong == 0)
-    for i in rest:
-        out[i] = same_left(left[i], right[i])
+    if a == b:
+        return True
+    x, y = code_points(a), code_points(b)
+    i = j = 0
+    while True:
+        fx, fy = fold_codes(x[i : i + block]), fold_codes(y[j : j + block])
+        px, py = np.flatnonzero(fx), np.flatnonzero(fy)
+        n = min(len(px), len(py))
+        if n and not np.array_equal(fx[px[:n]], fy[py[:n]]):
+            return False
+        # a pointer with nothing more to compare in its block skips all of it
+        i += int(px[n]) if len(px) > n else len(fx)
+        j += int(py[n]) if len(py) > n else len(fy)
+        if i >= len(x) or j >= len(y):
+            rest, at = (y, j) if i >= len(x) else (x, i)
+            return not any(fold_codes(rest[k : k + block]).any() for k in range(at, len(rest), block))
+
+
+def _distinct_pairs(found: list[tuple[str, str]]) -> dict[tuple[int, int], list[tuple[str, str]]]:
+    """The pairs of which something is left, each once, by their hashes."""
+    names, _, name_sizes = poly_hashes([n for n, _ in found])
+    values, _, value_sizes = poly_hashes([v for _, v in found])
+    out: dict[tuple[int, int], list[tuple[str, str]]] = {}
+    for pair, h, g, left in zip(found, names.tolist(), values.tolist(), (name_sizes + value_sizes).tolist()):
+        group = out.setdefault((h, g), []) if left else [pair]
+        if not any(_same_pair(pair, other) for other in group):
+            group.append(pair)
     return out
 
 
-def canonical(value: str) -> str:
-    """An exact text form of what is left; only for rows whose hashes collide."""
-    found = fields(value)
-    if found is None:
-        return "t" + "".join(map(chr, _reduced(value)))
-    pairs = sorted({p for p in ((_reduced(n), _reduced(v)) for n, v in found) if p != ((), ())})
-    return "f" + json.dumps(pairs)
+def _same_pair(p: tuple[str, str], q: tuple[str, str]) -> bool:
+    return same_text(p[0], q[0]) and same_text(p[1], q[1])
+
+
+def same_left(a: str, b: str) -> bool:
+    """Whether the same is left of two values, compared exactly; lists of fields as sets of pairs."""
+    fa, fb = fields(a), fields(b)
+    if fa is None or fb is None:
+        return fa is None and fb is None and same_text(a, b)
+    x, y = _distinct_pairs(fa), _distinct_pairs(fb)
+    return x.keys() == y.keys() and all(len(x[h]) == len(y[h]) and all(any(_same_pair(p, q) for q in y[h]) for p in x[h]) for h in x)

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from mnemoria.llm import near_dup
-from mnemoria.llm.folding import canonical, class_hashes, fields, same_left, same_left_many
+from mnemoria.llm.folding import class_hashes, fields, poly_hashes, same_left, same_text
 from mnemoria.llm.format_dup import copy_counts, format_copies
 from mnemoria.llm.near_dup import classes_with_links, expand_pairs, near_duplicates
 from mnemoria.llm.words import shingles, word_hashes, words
@@ -24,6 +24,15 @@ VALUES = [
 ]
 
 
+def reduced(text):
+    return "".join(next((c for c in x.lower() if c.isalnum()), "") if x.isalnum() else "" for x in text)
+
+
+def canonical(value):
+    found = fields(value)
+    return "t" + reduced(value) if found is None else "f" + json.dumps(sorted({(reduced(n), reduced(v)) for n, v in found} - {("", "")}))
+
+
 def test_fold_and_hash_classes_agree_with_canonical_forms():
     values = [v.encode("utf-16", "surrogatepass").decode("utf-16") for v in VALUES if v is not None]
     h1, h2, left = class_hashes(values)
@@ -32,11 +41,29 @@ def test_fold_and_hash_classes_agree_with_canonical_forms():
         for j, b in enumerate(values):
             if left[i] and left[j]:
                 assert ((h1[i], h2[i]) == (h1[j], h2[j])) == (canonical(a) == canonical(b)) == same_left(a, b), (a, b)
-    n = len(values)
-    assert same_left_many([v for v in values for _ in range(n)], values * n).tolist() == [same_left(a, b) for a in values for b in values]
     assert fields("a=b;;c=d")[1] == ("c", "d") and fields("=") == [("", "")] and fields("no") is None and fields("a=1;b") is None
 
 
+def test_hashes_and_comparisons_run_in_blocks(monkeypatch):
+    from mnemoria.llm import folding
+
+    r = random.Random(2)
+    texts = ["", "...", *["".join(r.choice("aB1 -_é日") for _ in range(n)) for n in (1, 3, 5, 40, 63, 64, 65, 200)], "", "x" * 130, " " * 150, "y"]
+    whole = [x.tolist() for x in poly_hashes(texts)]
+    for block in (1, 7, 64):
+        monkeypatch.setattr(folding, "BLOCK", block)
+        assert [x.tolist() for x in poly_hashes(texts)] == whole
+    assert whole[2] == [len(reduced(t)) for t in texts]
+    long = "ab-" * 50_000
+    want = [0, 0]
+    for i, c in enumerate(reduced(long)):
+        want = [(w + ord(c) * pow(b, i, m)) % m for w, b, m in zip(want, folding.BASES, folding.MODULI)]
+    assert poly_hashes([long])[0].tolist() == [(want[0] << 31) | want[1]]
+    for a in texts:
+        for b in [*texts, a.upper(), "-".join(a), a + " !", a + "z", a[:-1] + "q"]:
+            assert len({same_text(a, b, block) for block in (1, 3, 64, 4096)} | {reduced(a) == reduced(b)}) == 1, (a, b)
+
+
 def test_format_copies_on_all_cases(spark):
     rows = [(f"k{i:02}", v, "clash", i) for i, v in enumerate(VALUES)] + [(None, "hello world 12", "c", 0), ("k99", "hello world 12", "c", 0)]
     df = spark.createDataFrame(rows, "id string, value string, h1 string, n int")
