@@ -1,10 +1,12 @@
 """Labelled spans to train the tagger on, made by rule, and the training itself.
 
-    python -m mnemoria.llm.pii_train [STEPS]
+    python -m mnemoria.llm.pii_train [STEPS [TOKENIZERS]]
 
-writes ``pii_model.npz`` beside this file. All names, numbers and addresses are
-put together here and no table is read, but common words and the syllables of
-names and places were taken from the test tables.
+writes ``pii_model.npz`` beside this file. Half of the texts are made here: values as
+agents store them, with common words and syllables of names and places that were
+taken from the test tables. The other half (``pii_wide``) has names, addresses, numbers and
+sentences of five languages, and common words from the vocabulary of a public
+tokenizer. No table is read.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pathlib import Path
 
 import numpy as np
 
+from .pii_wide import Wide
 from .tagger import KINDS, WINDOW, Tagger, encode
 
 LABEL = {kind: i + 1 for i, kind in enumerate(KINDS)}
@@ -57,8 +60,9 @@ FIELDS = "run phase batch_no serial level ref room target task result mode note
 class Maker:
     """Makes pieces of text with labels. A piece is a list of (text, kind or None)."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, tokenizers: str | None = None, share: float = 0.5):
         self.r = random.Random(seed)
+        self.wide, self.share = Wide(self.r, tokenizers) if tokenizers else None, share
 
     def pick(self, *options):
         return self.r.choice(options)
@@ -291,7 +295,9 @@ class Maker:
     def text(self) -> tuple[str, np.ndarray]:
         """One value and the label of each of its characters."""
         r = self.r
-        if r.random() < 0.25:
+        if self.wide and r.random() < self.share:
+            pieces = self.wide.pieces()
+        elif r.random() < 0.25:
             pieces = self.fields()
         else:
             pieces = []
@@ -327,8 +333,8 @@ class Maker:
 class Batches:
     """``steps`` batches of windows (time, batch), made as they are asked for."""
 
-    def __init__(self, steps: int, width: int = 128, length: int = 160, seed: int = 7):
-        self.steps, self.width, self.length, self.maker = steps, width, length, Maker(seed)
+    def __init__(self, steps: int, width: int = 128, length: int = 160, seed: int = 7, tokenizers: str | None = None):
+        self.steps, self.width, self.length, self.maker = steps, width, length, Maker(seed, tokenizers)
 
     def __len__(self) -> int:
         return self.steps
@@ -374,18 +380,26 @@ def spans(mask: np.ndarray) -> list[tuple[int, int]]:
 
 
 def train(steps: int = 4000, hidden: int = 24, width: int = 128, seed: int = 7, report=None) -> Tagger:
+    """A tagger from one process and the texts made here alone."""
     tagger = Tagger(hidden)
     tagger.fit(Batches(steps, width, seed=seed), report=report)
     return tagger
 
 
+def train_wide(steps: int, tokenizers: str, hidden: int = 32, width: int = 128, seed: int = 7, processes: int = 8, report=None) -> Tagger:
+    """The stored tagger: processes with seeds of their own, the mean of their gradients in each step."""
+    tagger = Tagger(hidden)
+    tagger.fit_side_by_side([Batches(steps + 1, width, seed=seed + i, tokenizers=tokenizers) for i in range(processes)], steps, 8e-3, report)
+    return tagger
+
+
 if __name__ == "__main__":
     began = time.time()
 
     def say(step: int, loss: float) -> None:
-        if step % 100 == 0:
+        if step % 200 == 0:
             print(step, round(loss, 5), round(time.time() - began), flush=True)
 
-    model = train(int(sys.argv[1]) if len(sys.argv) > 1 else 4000, report=say)
+    model = train_wide(int(sys.argv[1]) if len(sys.argv) > 1 else 2600, sys.argv[2] if len(sys.argv) > 2 else "/opt/tokenizers", report=say)
     print(held_out(model), WINDOW)
     model.save(MODEL)

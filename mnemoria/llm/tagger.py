@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from pathlib import Path
 from typing import BinaryIO
 
@@ -11,7 +12,7 @@ import numpy as np
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 LABELS = len(KINDS) + 1
 _FIRST, _LAST = 32, 126
-#: Codes after the printable ASCII characters: line end, letters (large, small), digits, dashes, spaces, all else.
+#: Codes after the printable ASCII characters: line end, letters of other scripts (large, small), digits, dashes, spaces, all else.
 NEWLINE, LARGE, SMALL, DIGIT, DASH, SPACE, OTHER = range(_LAST - _FIRST + 2, _LAST - _FIRST + 9)
 VOCABULARY = OTHER + 1
 #: Characters of a window, and how many neighbouring windows share.
@@ -19,10 +20,18 @@ WINDOW, OVERLAP = 256, 48
 _BATCH = 1024
 
 
+#: Letters that have no decomposition, and what they are read as.
+_LETTERS = {"ß": "s", "ø": "o", "Ø": "O", "æ": "a", "Æ": "A", "œ": "o", "Œ": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "þ": "t", "Þ": "T", "ı": "i", "ħ": "h", "ẞ": "S", "’": "'", "‘": "'"}
+
+
 def _code(c: int) -> int:
     if _FIRST <= c <= _LAST:
         return c - _FIRST + 1
     char = chr(c)
+    base = ord(_LETTERS.get(char) or unicodedata.normalize("NFD", char)[:1] or char)
+    if base != c and _FIRST <= base <= _LAST:
+        # letters with marks are read as the letter
+        return base - _FIRST + 1
     if char in "\n\r":
         return NEWLINE
     if char.isspace():
@@ -90,19 +99,22 @@ class Tagger:
         part = self.weights["o"][:h] if d == "f" else self.weights["o"][h:]
         steps = range(len(codes)) if d == "f" else range(len(codes) - 1, -1, -1)
         n = codes.shape[1]
-        state, cell, z = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), np.empty((n, 4 * h), np.float32)
+        state, cell, z, x = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32), np.empty((n, 4 * h), np.float32), np.empty((n, 4 * h), np.float32)
+        gates, new, said = z[:, : 3 * h], np.empty((n, h), np.float32), np.empty((n, LABELS), np.float32)
         for t in steps:
+            np.take(table, codes[t], axis=0, out=x, mode="clip")
             np.matmul(state, matrix, out=z)
-            z += table[codes[t]]
+            z += x
             np.tanh(z, out=z)
-            gates = z[:, : 3 * h]
             gates *= 0.5
             gates += 0.5
             cell *= z[:, h : 2 * h]
-            cell += z[:, :h] * z[:, 3 * h :]
+            np.multiply(z[:, :h], z[:, 3 * h :], out=new)
+            cell += new
             np.tanh(cell, out=state)
             state *= z[:, 2 * h : 3 * h]
-            out[t] += state @ part
+            np.matmul(state, part, out=said)
+            out[t] += said
 
     def emissions(self, codes: np.ndarray) -> np.ndarray:
         """Scores (time, batch, labels) of codes (time, batch); 0 stands for no character."""
@@ -117,7 +129,7 @@ class Tagger:
         order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
         at = 0
         while at < len(order):
-            some = order[at : at + _BATCH]
+            some = order[at : at + 32 * _BATCH]
             # a block holds as many texts as its longest one leaves room for
             while len(some) > 1 and len(some) * len(scores[some[-1]]) > 1_000_000:
                 some = some[: len(some) // 2]
@@ -129,9 +141,13 @@ class Tagger:
             best, back, last = block[0].copy(), np.zeros((len(block), len(some), LABELS), np.int8), np.zeros(len(some), np.int8)
             for t in range(len(block)):
                 if t:
-                    step = best[:, :, None] + move
-                    back[t] = step.argmax(1)
-                    best = step.max(1) + block[t]
+                    # label by label: so few of them make a slow axis
+                    top = best[:, :1] + move[0]
+                    for k in range(1, LABELS):
+                        step = best[:, k : k + 1] + move[k]
+                        back[t][step > top] = k
+                        np.maximum(top, step, out=top)
+                    best = top + block[t]
                 ends = sizes == t + 1
                 if ends.any():
                     last[ends] = best[ends].argmax(1)
@@ -145,11 +161,24 @@ class Tagger:
                 out[i] = path[: sizes[j], j]
         return out
 
-    def may_label(self, scores: np.ndarray) -> np.ndarray:
-        """Where a label other than none could be on the best path; where it can't anywhere, all-none is that path for certain."""
+    def may_label(self, scores: np.ndarray, real: np.ndarray | None = None) -> np.ndarray:
+        """Where a label other than none could be on the best path of whole texts (time, ..., labels); elsewhere none is, for certain.
+
+        A run of labels is better than none only if what it gains over its characters
+        outweighs the cost of the changes at its ends, of which only the text's own ends
+        are free. So no run goes over a character that lies in no stretch of such a gain.
+        """
         move = self.weights["t"]
-        gain = 2 * max(0.0, float((move - move[0, 0]).max()))
-        return scores[..., 1:].max(-1) - scores[..., 0] + gain > 0
+        inside = max(0.0, float((move[1:, 1:] - move[0, 0]).max()))
+        edge = float(max(move[0, 1:].max(), move[1:, 0].max()) - move[0, 0])
+        gain = scores[..., 1:].max(-1) - scores[..., 0] + inside
+        if real is not None:
+            gain = np.where(real, gain, -1e4)
+        sums = np.cumsum(gain, 0, dtype=np.float64)
+        before = np.minimum.accumulate(np.concatenate([np.zeros_like(sums[:1]), sums[:-1]]), 0)
+        after = np.maximum.accumulate(sums[::-1], 0)[::-1]
+        whole = np.where(True if real is None else real, gain, 0).sum(0)
+        return (after - before > inside - max(edge, 2 * edge) - 1e-3) | (whole > inside - 1e-3)
 
     def label(self, texts: list[str]) -> list[np.ndarray | None]:
         """Labels of each character of each text; None where all are none.
@@ -177,7 +206,7 @@ class Tagger:
             for j, (i, start, size) in enumerate(some):
                 block[:size, j] = codes[i][start : start + size]
             found = self.emissions(block)
-            may = (self.may_label(found) & (block > 0)).any(0)
+            may = (self.may_label(found, block > 0) & (block > 0)).any(0)
             for j, (i, start, size) in enumerate(some):
                 if may[j]:
                     hit.add(i)
@@ -190,11 +219,48 @@ class Tagger:
                     whole[low:high] = found[low - start : high - start, j]
         out: list[np.ndarray | None] = [None] * len(texts)
         numbers = sorted(hit)
-        for i, labels in zip(numbers, self.decode([scores[i] for i in numbers])):
+        for i, labels in zip(numbers, self.decode_apart([scores[i] for i in numbers])):
             if labels.any():
                 out[i] = labels
         return out
 
+    def decode_apart(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """``decode``, run only over the stretches where a label could be.
+
+        Where none can be, none is on the best path for certain, so a path falls into
+        stretches with a certain none at either end.
+        """
+        out = [np.zeros(len(s), np.int8) for s in scores]
+        order, at = sorted(range(len(scores)), key=lambda i: len(scores[i])), 0
+        while at < len(order):
+            # many texts at once, in a block with room for the longest of them
+            some = order[at : at + _BATCH]
+            while len(some) > 1 and len(some) * len(scores[some[-1]]) > 1_000_000:
+                some = some[: len(some) // 2]
+            at += len(some)
+            sizes = np.array([len(scores[i]) for i in some])
+            block = np.zeros((len(some), sizes.max(initial=0) + 1, LABELS), np.float32)
+            for j, i in enumerate(some):
+                block[j, : sizes[j]] = scores[i]
+            real = np.arange(block.shape[1]) < sizes[:, None]
+            may = self.may_label(block.swapaxes(0, 1), real.T).T & real
+            edges = np.diff(np.concatenate([np.zeros((len(some), 1), np.int8), may.astype(np.int8)], 1), axis=1)
+            row, first = np.nonzero(edges == 1)
+            last = np.nonzero(edges == -1)[1]
+            low, high = np.maximum(first - 1, 0), np.minimum(last + 1, sizes[row])
+            pieces = []
+            for j, a, b in zip(row.tolist(), low.tolist(), high.tolist()):
+                piece = block[j, a:b].copy()
+                if a > 0:
+                    piece[0, 1:] = -1e9
+                if b < sizes[j]:
+                    piece[-1, 1:] = -1e9
+                pieces.append(piece)
+            for j, a, b, path in zip(row.tolist(), low.tolist(), high.tolist(), self.decode(pieces)):
+                part = out[some[j]][a:b]
+                np.maximum(part, path, out=part)
+        return out
+
     # --- training
 
     def gradients(self, codes: np.ndarray, labels: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -274,11 +340,42 @@ class Tagger:
 
     def fit(self, batches, rate: float = 6e-3, report=None) -> None:
         """Adam over an iterable of (codes, labels), the rate falling to a twentieth; ``batches`` has a length."""
+        self._adam((self.gradients(codes, labels) for codes, labels in batches), len(batches), rate, report)
+
+    def fit_side_by_side(self, makers: list, steps: int, rate: float = 6e-3, report=None) -> None:
+        """``fit`` with one process for each of ``makers`` (iterables of batches); each step takes the mean of their gradients."""
+        from multiprocessing import get_context
+
+        def work(pipe, batches) -> None:
+            for codes, labels in batches:
+                weights = pipe.recv()
+                if weights is None:
+                    return
+                self.weights = weights
+                pipe.send(self.gradients(codes, labels))
+
+        context, pipes = get_context("fork"), []
+        for batches in makers:
+            ours, theirs = context.Pipe()
+            context.Process(target=work, args=(theirs, batches), daemon=True).start()
+            pipes.append(ours)
+
+        def means():
+            for _ in range(steps):
+                for pipe in pipes:
+                    pipe.send(self.weights)
+                found = [pipe.recv() for pipe in pipes]
+                yield sum(x for x, _ in found) / len(found), {k: sum(g[k] for _, g in found) / len(found) for k in self.weights}
+            for pipe in pipes:
+                pipe.send(None)
+
+        self._adam(means(), steps, rate, report)
+
+    def _adam(self, gradients, steps: int, rate: float, report) -> None:
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
-        for step, (codes, labels) in enumerate(batches, 1):
-            loss, grads = self.gradients(codes, labels)
-            now = rate * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / len(batches))))
+        for step, (loss, grads) in enumerate(gradients, 1):
+            now = rate * (0.05 + 0.95 * 0.5 * (1 + np.cos(np.pi * step / steps)))
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads.values()))
             clip = min(1.0, 1.0 / max(norm, 1e-9))
             for k, g in grads.items():
