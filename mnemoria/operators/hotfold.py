@@ -3,10 +3,14 @@
 The fold as it stands needs the state before. Cut into parts that begin at a
 set, it becomes a function of little: whether the entry was there, since when,
 whether it was pinned, and its score, which a run of sets turns by
-``min(c, a * score + b)`` with numbers of its own. Two rounds do it: the first
-tells how long each part's entry has been there, the second makes each part's
-function. Both rounds read parts of bounded size; what joins them per key has
-one row per part.
+``min(c, a * score + b)`` with numbers of its own. What stands before a part's
+first set, or in a part without one, comes down to the last pin, the latest time (an
+entry that expires by then is gone) and how many reads count, which depends on the
+last counted one before: a read counts if it is late enough after that, so only the
+reads that could be the first to count are told apart, and those that soon agree are
+one. Two rounds do it: the first tells how long each part's entry has been there, the
+second makes each part's function. Both rounds stream through parts; what joins them
+per key has one small row per part.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relevance import HOUR_MS, Decay
@@ -47,18 +51,59 @@ def _runs(batches: Iterator[pd.DataFrame], make, columns: int) -> Iterator[list]
         yield [(*current, json.dumps(acc.done()))]
 
 
+class _Reads:
+    """How many reads of a run count, and the last that does, for any last counted one before it that isn't after ``bound``."""
+
+    def __init__(self, bound: int, touch_ms: int):
+        self.bound, self.touch = bound, touch_ms
+        # walkers by their last counted read; each with the first it counted and how many
+        self.groups: dict[int, list[list[int]]] = {}
+        self.top: int | None = None
+
+    def add(self, ts: int) -> None:
+        moved = [last for last in self.groups if ts - last > self.touch]
+        gathered = [w for last in moved for w in self.groups.pop(last)]
+        for w in gathered:
+            w[1] += 1
+        # a later first read than any so far counts first for whom the earlier ones came too soon
+        if self.top is None or (ts > self.top and self.top <= self.bound + self.touch):
+            gathered.append([ts, 1])
+            self.top = ts
+        if gathered:
+            self.groups.setdefault(ts, []).extend(gathered)
+
+    def done(self) -> list[list[int]]:
+        return sorted([first, n, last] for last, walkers in self.groups.items() for first, n in walkers)
+
+
+def _count_reads(reads: list[list[int]], last: int, touch_ms: int) -> tuple[int, int]:
+    """Reads that count after ``last``, and the last counted one."""
+    for first, n, end in reads:
+        if first - last > touch_ms:
+            return n, end
+    return 0, last
+
+
 class _Bounds:
-    """Round one: the operations before a part's first set, and how the entry fares after it."""
+    """Round one: what comes before a part's first set, and how the entry fares after it."""
 
-    def __init__(self, _row):
-        self.head, self.first, self.there, self.exp, self.reset = [], None, False, None, None
+    def __init__(self, row, touch_ms: int):
+        bound = _whole(row[-1])
+        self.base, self.latest, self.pin, self.pinned = None, None, None, False
+        self.reads = _Reads(-(1 << 62) if bound is None else bound, touch_ms)
+        self.first, self.there, self.exp, self.reset = None, False, None, None
 
     def add(self, seq, op, ts, ttl, *base):
         ts, ttl = _whole(ts), _whole(ttl)
         if op == "base":
-            self.head.append(["base", None, [_whole(base[0]), _whole(base[1]), float(base[2]), _whole(base[3]), _whole(base[4]), bool(base[5])]])
+            self.base = [_whole(base[0]), _whole(base[1]), float(base[2]), _whole(base[3]), _whole(base[4]), bool(base[5])]
+            self.reads.bound = max(self.reads.bound, self.base[1])
         elif self.first is None and op != "set":
-            self.head.append([op, ts, None])
+            self.latest = ts if self.latest is None else max(self.latest, ts)
+            if op == "read":
+                self.reads.add(ts)
+            else:
+                self.pin, self.pinned = op, self.pinned or op == "pin"
         else:
             live = self.first is None or (self.there and (self.exp is None or ts < self.exp))
             if op == "set":
@@ -71,7 +116,8 @@ class _Bounds:
                 self.there = False
 
     def done(self):
-        return {"head": self.head, "first": self.first, "there": self.there, "exp": self.exp, "reset": self.reset}
+        head = {"base": self.base, "latest": self.latest, "pin": self.pin, "pinned": self.pinned, "reads": self.reads.done()}
+        return {"head": head, "first": self.first, "there": self.there, "exp": self.exp, "reset": self.reset}
 
 
 class _Body:
@@ -124,10 +170,15 @@ def fold_in_parts(rows: DataFrame, decay: Decay, touch_ms: int, rebase_on_write:
     sorted_by = ["namespace", "key", "part", "seq"]
     parted = rows.withColumn("part", F.floor(F.greatest("seq", F.lit(0)) / part_width))
     parted = materialize(parted.select("namespace", "key", "part", "seq", "op", "ts_ms", "ttl_ms", *_BASE), "hot-ops")
-    spread = parted.repartition("namespace", "key", "part").sortWithinPartitions(*sorted_by)
+    # the latest time of all parts before, which no last access before a part exceeds; one row per part
+    latest = parted.groupBy("namespace", "key", "part").agg(F.max(F.greatest("ts_ms", F.coalesce("last_accessed_ms", "ts_ms"))).alias("latest"))
+    before = Window.partitionBy("namespace", "key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    latest = latest.select("namespace", "key", "part", F.max("latest").over(before).alias("bound"))
+    spread = parted.join(latest, ["namespace", "key", "part"]).repartition("namespace", "key", "part").sortWithinPartitions(*sorted_by)
+    spread = spread.select("namespace", "key", "part", "seq", "op", "ts_ms", "ttl_ms", *_BASE, "bound")
 
     def bounds(batches):
-        for out in _runs(batches, _Bounds, 13):
+        for out in _runs(batches, lambda row: _Bounds(row, touch_ms), 13):
             yield _frame(out, _BOUNDS)
 
     summaries = materialize(spread.mapInPandas(bounds, _BOUNDS), "hot-bounds")
@@ -136,11 +187,11 @@ def fold_in_parts(rows: DataFrame, decay: Decay, touch_ms: int, rebase_on_write:
         there, exp, created, out = False, None, None, []
         for ns, key, part, text in parts.sort_values("part").itertuples(index=False, name=None):
             s = json.loads(text)
-            for op, ts, base in s["head"]:
-                if op == "base":
-                    there, exp, created = True, base[0], base[3]
-                elif exp is not None and ts >= exp:
-                    there = False
+            head = s["head"]
+            if head["base"]:
+                there, exp, created = True, head["base"][0], head["base"][3]
+            if exp is not None and head["latest"] is not None and head["latest"] >= exp:
+                there = False
             if s["first"] is not None:
                 live = there and (exp is None or s["first"] < exp)
                 out.append((ns, key, part, json.dumps({"insert": not live, "created": created if live else s["first"]})))
@@ -162,17 +213,17 @@ def fold_in_parts(rows: DataFrame, decay: Decay, touch_ms: int, rebase_on_write:
     def joined(parts: pd.DataFrame) -> pd.DataFrame:
         state = None
         for text, body in parts.sort_values("part")[["summary", "body"]].itertuples(index=False, name=None):
-            for op, ts, base in json.loads(text)["head"]:
-                if op == "base":
-                    state = dict(exp=base[0], last=base[1], rel=base[2], created=base[3], reads=base[4], pinned=base[5], set_seq=None)
-                elif state is not None and state["exp"] is not None and ts >= state["exp"]:
-                    state = None
-                elif state is not None and op == "pin":
-                    state |= dict(pinned=True, rel=1.0)
-                elif state is not None and op == "unpin":
-                    state |= dict(pinned=False)
-                elif state is not None and op == "read" and ts - state["last"] > touch_ms:
-                    state |= dict(reads=state["reads"] + 1, last=ts)
+            head = json.loads(text)["head"]
+            if head["base"]:
+                base = head["base"]
+                state = dict(exp=base[0], last=base[1], rel=base[2], created=base[3], reads=base[4], pinned=base[5], set_seq=None)
+            if state is not None and state["exp"] is not None and head["latest"] is not None and head["latest"] >= state["exp"]:
+                state = None
+            if state is not None:
+                n, last = _count_reads(head["reads"], state["last"], touch_ms)
+                state |= dict(reads=state["reads"] + n, last=last)
+                if head["pin"]:
+                    state |= dict(pinned=head["pin"] == "pin", rel=1.0 if head["pinned"] else state["rel"])
             b = json.loads(body) if isinstance(body, str) else None
             if b:
                 before = state or dict(rel=1.0, reads=0, pinned=False)

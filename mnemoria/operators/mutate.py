@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import is_live
 from ..schema import MEMORY_TYPES, TYPE_TTL_MS
 from .access import live
+from .prefixes import prefix_pairs
 
 
 def set_ops(writes: DataFrame, as_of_ms: int, apply_type_default_ttl: bool = False, default_type: str = "semantic", keep: list[str] | None = None) -> DataFrame:
@@ -46,10 +47,12 @@ def delete_namespace(entries: DataFrame, namespace: str) -> DataFrame:
 def delete_prefixes(entries: DataFrame, prefixes: DataFrame) -> DataFrame:
     """State without the keys below any ``(namespace, key_prefix)``; a null or empty prefix means all of a namespace.
 
-    The join is on the namespace, with the prefix as a condition on top.
+    Keys meet the prefixes that they begin with by equality (``prefix_pairs``).
+    Rows without a key stay.
     """
-    p = prefixes.select(F.col("namespace").alias("__ns"), F.coalesce("key_prefix", F.lit("")).alias("__prefix")).distinct()
-    return entries.join(p, (F.col("namespace") == F.col("__ns")) & F.col("key").startswith(F.col("__prefix")), "left_anti")
+    p = prefixes.select("namespace", F.coalesce("key_prefix", F.lit("")).alias("prefix")).distinct()
+    gone = prefix_pairs(entries.select("namespace", "key"), p).select("namespace", "key").distinct()
+    return entries.join(gone, ["namespace", "key"], "left_anti")
 
 
 def merge_forced(entries: DataFrame, forced: DataFrame) -> DataFrame:

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import is_live
-from ..functions.relevance import DEFAULT, HOUR_MS, Decay
+from ..functions.relevance import DEFAULT, HOUR_MS, Decay, clamp
 from ..session import materialize
 from .hotfold import fold_in_parts
-from .skew import heavy_hashes
+from .prefixes import prefix_pairs
+from .skew import heavy_hashes, skewed_lookup
 
 #: Numbers of the log that one part of a hot key's operations spans.
 PART_WIDTH = 1 << 16
 #: A read within this time of the last counted one doesn't count.
 TOUCH_MS = 1000
 STATE_COLUMNS = ["namespace", "key", "value", "memory_type", "expires_at_ms", "embedding", "last_accessed_ms", "relevance", "created_at_ms", "access_count", "pinned"]
-_FOLDED = "namespace string, key string, set_seq long, expires_at_ms long, last_accessed_ms long, relevance double, created_at_ms long, access_count long, pinned boolean"
 
 
 def distinct_ops(ops: DataFrame, as_of_ms: int | None = None, up_to_seq: int | None = None) -> DataFrame:
@@ -63,68 +59,48 @@ def cutoffs(ops: DataFrame) -> DataFrame:
     cleared = ops.where(F.col("op") == "clear").agg(F.max("seq")).first()[0]
     keys = ops.where(F.col("key").isNotNull() & ~F.col("op").isin("clear", "delete_prefix")).groupBy("namespace", "key").agg(F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("direct"))
     prefixes = ops.where(F.col("op") == "delete_prefix").groupBy("namespace", F.coalesce("key", F.lit("")).alias("prefix")).agg(F.max("seq").alias("by_prefix"))
-    hit = keys.select("namespace", "key").join(prefixes, "namespace").where(F.col("key").startswith(F.col("prefix"))).groupBy("namespace", "key").agg(F.max("by_prefix").alias("by_prefix"))
+    hit = prefix_pairs(keys.select("namespace", "key"), prefixes).groupBy("namespace", "key").agg(F.max("by_prefix").alias("by_prefix"))
     return keys.join(hit, ["namespace", "key"], "left").select("namespace", "key", F.greatest(F.coalesce("direct", F.lit(-1)), F.coalesce("by_prefix", F.lit(-1)), F.lit(-1 if cleared is None else cleared)).alias("cut"))
 
 
-def _fold(decay: Decay, rebase_on_write: bool):
-    """Runs over rows sorted by key and seq; a key's rows may span batches."""
-
-    def done(key, s):
-        return None if s is None or not s["there"] else (*key, s["set_seq"], s["exp"], s["last"], s["rel"], s["created"], s["reads"], s["pinned"])
-
-    def step(s, op, seq, ts, ttl, base):
-        if op == "base":
-            return dict(there=True, set_seq=None, exp=base[0], last=base[1], rel=base[2], created=base[3], reads=base[4], pinned=base[5])
-        live = s is not None and s["there"] and (s["exp"] is None or ts < s["exp"])
-        if op == "set":
-            exp = ts + ttl if ttl else None
-            if not live:
-                return dict(there=True, set_seq=seq, exp=exp, last=ts, rel=1.0, created=ts, reads=0, pinned=False)
-            if s["pinned"]:
-                rel = 1.0
-            else:
-                age = max(0.0, (ts - s["created"]) / HOUR_MS)
-                rel = min(1.0, min(1.0, max(0.0, s["rel"] * math.exp(-decay.rate * age))) + decay.write_boost)
-            return s | dict(set_seq=seq, exp=exp, last=ts, rel=rel, reads=s["reads"] + 1, created=ts if rebase_on_write else s["created"])
-        if not live:
-            # a touch of an expired entry removes it
-            return None
-        if op == "pin":
-            return s | dict(pinned=True, rel=1.0)
-        if op == "unpin":
-            return s | dict(pinned=False)
-        if op == "read" and ts - s["last"] > TOUCH_MS:
-            return s | dict(reads=s["reads"] + 1, last=ts)
-        return s
-
-    def whole(x):
-        return None if x is None or x != x else int(x)
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, None
-        for batch in batches:
-            out = []
-            for ns, key, seq, op, ts, ttl, exp, last, rel, created, reads, pinned in batch.itertuples(index=False, name=None):
-                if (ns, key) != current:
-                    if current is not None:
-                        out.append(done(current, state))
-                    current, state = (ns, key), None
-                base = (whole(exp), whole(last), rel, whole(created), whole(reads), bool(pinned)) if op == "base" else None
-                state = step(state, op, whole(seq), whole(ts), whole(ttl), base)
-            yield _frame(out)
-        if current is not None:
-            yield _frame([done(current, state)])
-
-    return fold
-
-
-def _frame(rows: list) -> pd.DataFrame:
-    names = [x.split()[0] for x in _FOLDED.split(", ")]
-    out = pd.DataFrame([r for r in rows if r is not None], columns=names)
-    for name in ("set_seq", "expires_at_ms", "last_accessed_ms", "created_at_ms", "access_count"):
-        out[name] = out[name].astype("Int64")
-    return out
+_BASE = {"expires_at_ms": "long", "last_accessed_ms": "long", "relevance": "double", "created_at_ms": "long", "access_count": "long", "pinned": "boolean"}
+_HELD = "there boolean, set_seq long, exp long, last long, rel double, created long, reads long, pinned boolean"
+
+
+def _step(decay: Decay, rebase_on_write: bool):
+    """State after one more operation, as columns."""
+
+    def state(s: Column | None = None, **parts: Column) -> Column:
+        names = [x.split() for x in _HELD.split(", ")]
+        return F.struct(*[(parts[n] if n in parts else s[n] if s is not None else F.lit(None)).cast(t).alias(n) for n, t in names])
+
+    def step(s: Column, x: Column) -> Column:
+        ts = x["ts_ms"]
+        live = s["there"] & (s["exp"].isNull() | (ts < s["exp"]))
+        exp = F.when(x["ttl_ms"].isNotNull(), ts + x["ttl_ms"])
+        new = state(there=F.lit(True), set_seq=x["seq"], exp=exp, last=ts, rel=F.lit(1.0), created=ts, reads=F.lit(0), pinned=F.lit(False))
+        age = F.greatest(F.lit(0.0), (ts - s["created"]) / HOUR_MS)
+        boosted = F.least(F.lit(1.0), clamp(s["rel"] * F.exp(-decay.rate * age)) + F.lit(decay.write_boost))
+        again = state(s, set_seq=x["seq"], exp=exp, last=ts, rel=F.when(s["pinned"], 1.0).otherwise(boosted), reads=s["reads"] + 1, created=ts if rebase_on_write else s["created"])
+        counted = (x["op"] == "read") & (ts - s["last"] > TOUCH_MS)
+        touched = state(
+            s,
+            pinned=F.when(x["op"] == "pin", True).when(x["op"] == "unpin", False).otherwise(s["pinned"]), rel=F.when(x["op"] == "pin", 1.0).otherwise(s["rel"]),
+            reads=s["reads"] + counted.cast("long"), last=F.when(counted, ts).otherwise(s["last"]),
+        )
+        base = state(there=F.lit(True), exp=x["expires_at_ms"], last=x["last_accessed_ms"], rel=x["relevance"], created=x["created_at_ms"], reads=x["access_count"], pinned=x["pinned"])
+        # a touch of an expired entry removes it
+        return F.when(x["op"] == "base", base).when(x["op"] == "set", F.when(live, again).otherwise(new)).when(live, touched).otherwise(state(s, there=F.lit(False)))
+
+    return step, state(there=F.lit(False))
+
+
+def _fold(kept: DataFrame, decay: Decay, rebase_on_write: bool) -> DataFrame:
+    """State of each key from its operations in order, folded inside the engine; a key here has a small share of all rows."""
+    step, begin = _step(decay, rebase_on_write)
+    ops = F.array_sort(F.collect_list(F.struct("seq", "op", "ts_ms", "ttl_ms", *_BASE)))
+    done = kept.groupBy("namespace", "key").agg(ops.alias("ops")).select("namespace", "key", F.aggregate("ops", begin, step).alias("s")).where("s.there")
+    return done.select("namespace", "key", "s.set_seq", F.col("s.exp").alias("expires_at_ms"), F.col("s.last").alias("last_accessed_ms"), F.col("s.rel").alias("relevance"), F.col("s.created").alias("created_at_ms"), F.col("s.reads").alias("access_count"), "s.pinned")
 
 
 def replay(ops: DataFrame, as_of_ms: int | None = None, up_to_seq: int | None = None, base: DataFrame | None = None, decay: Decay = DEFAULT, rebase_on_write: bool = False, hot_share: float | None = None, part_width: int = PART_WIDTH) -> DataFrame:
@@ -137,40 +113,48 @@ def replay(ops: DataFrame, as_of_ms: int | None = None, up_to_seq: int | None =
     here: a read of the result filters them by its own time. An empty log gives
     the base, or nothing.
 
-    A key's operations since its last deletion are sorted and streamed through a
-    fold, never held together. Keys with at least ``hot_share`` of them are
-    folded in parts of ``part_width`` numbers, side by side (``hotfold``). Values
-    and embeddings stay out of it: they are looked up by the number of the set
-    that holds.
+    Without values the log is narrow: it is made distinct and written once, and values
+    and embeddings are looked up by the number of the set that holds. A key's
+    operations since its last deletion are folded in order inside the engine; keys with
+    at least ``hot_share`` of them (by default what one partition holds) are folded in
+    parts of ``part_width`` numbers, side by side (``hotfold``). Keys of the base that
+    the log doesn't touch pass by.
     """
-    log = distinct_ops(ops, as_of_ms, up_to_seq)
-    kept = log.where(F.col("op").isin("set", "pin", "unpin", "read")).select("namespace", "key", "seq", "op", "ts_ms", F.nullif("ttl_ms", F.lit(0)).alias("ttl_ms"))
-    cut = cutoffs(log)
-    kept = kept.join(cut, ["namespace", "key"]).where(F.col("seq") > F.col("cut")).drop("cut")
-    kinds = {"expires_at_ms": "long", "last_accessed_ms": "long", "relevance": "double", "created_at_ms": "long", "access_count": "long", "pinned": "boolean"}
-    kept = kept.withColumns({n: F.lit(None).cast(t) for n, t in kinds.items()})
+    narrow = distinct_ops(ops.select("seq", "op", "namespace", "key", "ts_ms", F.nullif("ttl_ms", F.lit(0)).alias("ttl_ms")), as_of_ms, up_to_seq)
+    log = materialize(narrow, "replay-log")
+    cut = materialize(cutoffs(log), "replay-cuts")
+    kept = log.where(F.col("op").isin("set", "pin", "unpin", "read") & F.col("namespace").isNotNull() & F.col("key").isNotNull()).select("namespace", "key", "seq", "op", "ts_ms", "ttl_ms")
+    # most keys are never deleted: only those that are have a number to look up
+    deep = cut.where(F.col("cut") >= 0)
+    kept = skewed_lookup(kept, deep, ["namespace", "key"], "left").where(F.col("cut").isNull() | (F.col("seq") > F.col("cut"))).drop("cut")
+    kept = kept.withColumns({n: F.lit(None).cast(t) for n, t in _BASE.items()})
+    rest = None
     if base is not None:
         cleared = log.where(F.col("op") == "clear").limit(1).count() > 0
         prefixes = log.where(F.col("op") == "delete_prefix").select("namespace", F.col("key").alias("key_prefix"))
-        gone = cut.where(F.col("cut") >= 0).select("namespace", "key")
         from .mutate import delete_prefixes
 
-        base = base.select(*STATE_COLUMNS).limit(0) if cleared else delete_prefixes(base.select(*STATE_COLUMNS).join(gone, ["namespace", "key"], "left_anti"), prefixes)
-        first = base.select("namespace", "key", F.lit(-1).cast("long").alias("seq"), F.lit("base").alias("op"), F.lit(None).cast("long").alias("ts_ms"), F.lit(None).cast("long").alias("ttl_ms"), *kinds)
+        base = base.select(*STATE_COLUMNS)
+        base = base.limit(0) if cleared else delete_prefixes(base.join(deep.select("namespace", "key"), ["namespace", "key"], "left_anti"), prefixes)
+        touched = kept.select("namespace", "key").distinct()
+        rest, base = base.join(touched, ["namespace", "key"], "left_anti"), base.join(touched, ["namespace", "key"], "left_semi")
+        first = base.select("namespace", "key", F.lit(-1).cast("long").alias("seq"), F.lit("base").alias("op"), F.lit(None).cast("long").alias("ts_ms"), F.lit(None).cast("long").alias("ttl_ms"), *_BASE)
         kept = kept.unionByName(first)
     kept = materialize(kept, "replay-ops")
     hot = list(heavy_hashes(kept, ["namespace", "key"], hot_share)[0])
     is_hot = F.xxhash64("namespace", "key").isin(hot) if hot else F.lit(False)
-    folded = kept.where(~is_hot).repartition("namespace", "key").sortWithinPartitions("namespace", "key", "seq").mapInPandas(_fold(decay, rebase_on_write), _FOLDED)
+    folded = _fold(kept.where(~is_hot), decay, rebase_on_write)
     if hot:
         folded = folded.unionByName(fold_in_parts(kept.where(is_hot), decay, TOUCH_MS, rebase_on_write, part_width))
-    values = log.where(F.col("op") == "set").select(F.col("seq").alias("set_seq"), "value", "memory_type", "embedding")
+    values = ops.where(F.col("op") == "set").select(F.col("seq").alias("set_seq"), "value", "memory_type", "embedding")
+    # a set that was delivered twice meets its key twice
     if base is None:
-        return folded.join(values, "set_seq").select(*STATE_COLUMNS)
+        return folded.join(values, "set_seq").dropDuplicates(["set_seq"]).select(*STATE_COLUMNS)
     old = base.select("namespace", "key", F.col("value").alias("__v"), F.col("memory_type").alias("__t"), F.col("embedding").alias("__e"))
-    out = folded.join(values, "set_seq", "left").join(old, ["namespace", "key"], "left")
+    out = folded.join(values, "set_seq", "left").dropDuplicates(["namespace", "key"]).join(old, ["namespace", "key"], "left")
     fresh = F.col("set_seq").isNotNull()
-    return out.withColumns({n: F.when(fresh, F.col(n)).otherwise(F.col(o)) for n, o in (("value", "__v"), ("memory_type", "__t"), ("embedding", "__e"))}).select(*STATE_COLUMNS)
+    out = out.withColumns({n: F.when(fresh, F.col(n)).otherwise(F.col(o)) for n, o in (("value", "__v"), ("memory_type", "__t"), ("embedding", "__e"))}).select(*STATE_COLUMNS)
+    return out.unionByName(rest)
 
 
 def last_writes(ops: DataFrame, as_of_ms: int | None = None) -> DataFrame:
@@ -179,9 +163,10 @@ def last_writes(ops: DataFrame, as_of_ms: int | None = None) -> DataFrame:
     What a replica keeps that applies sets and deletions only. It needs no fold:
     everything is a maximum.
     """
-    log = distinct_ops(ops, as_of_ms)
-    sets = log.where(F.col("op") == "set").join(cutoffs(log), ["namespace", "key"]).where(F.col("seq") > F.col("cut"))
-    last = sets.groupBy("namespace", "key").agg(F.max_by(F.struct("value", "memory_type", "ts_ms", "ttl_ms"), "seq").alias("w"))
+    log = ops if as_of_ms is None else ops.where(F.col("ts_ms") <= as_of_ms)
+    # maxima don't mind repeated deliveries, so nothing is made distinct; a key's last set is after its last deletion or it isn't
+    sets = log.where((F.col("op") == "set") & F.col("key").isNotNull()).groupBy("namespace", "key").agg(F.max_by(F.struct("seq", "value", "memory_type", "ts_ms", "ttl_ms"), "seq").alias("w"))
+    last = sets.join(cutoffs(log), ["namespace", "key"]).where(F.col("w.seq") > F.col("cut"))
     out = last.select("namespace", "key", "w.value", "w.memory_type", (F.col("w.ts_ms") + F.nullif("w.ttl_ms", F.lit(0))).alias("expires_at_ms"))
     return out if as_of_ms is None else out.where(is_live(F.col("expires_at_ms"), as_of_ms))
 
