@@ -43,5 +43,5 @@ def next_power_of_two(n: int) -> int:
 
 
 def shard_of(full: Column, shards: int) -> Column:
-    """Number of a key's shard; ``shards`` is rounded up to a power of two."""
-    return F.pmod(F.xxhash64(full), F.lit(next_power_of_two(shards))).cast("int")
+    """Number of a key's shard, by the first 32 bits of its MD5; ``shards`` is rounded up to a power of two."""
+    return F.pmod(F.conv(F.substring(F.md5(full.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(next_power_of_two(shards))).cast("int")

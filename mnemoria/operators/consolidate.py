@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import first_segment
 from ..session import materialize
+from . import capacity as limits
 from .access import live
 
 REPORT = "namespace string, action string, source string, target string, occurrences long, outcome string"
@@ -68,9 +69,12 @@ def promote(entries: DataFrame, rule: Promote, as_of_ms: int) -> DataFrame:
     Only an existing *semantic* fact is a conflict; any other entry under the
     target key is overwritten. ``version`` takes the smallest free number from 2.
     """
-    groups = promote_groups(entries, rule, as_of_ms).withColumn("target", F.concat(F.lit("fact:"), F.col("grp")))
+    groups = materialize(promote_groups(entries, rule, as_of_ms).withColumn("target", F.concat(F.lit("fact:"), F.col("grp"))), "promote-groups")
     there = live(entries, as_of_ms).where(F.col("key").startswith("fact:")).select("namespace", F.col("key").alias("target"), F.col("memory_type").alias("__type"))
     met = groups.join(there, ["namespace", "target"], "left").withColumn("conflict", F.coalesce(F.col("__type") == "semantic", F.lit(False))).drop("__type")
+    if rule.conflict_policy == "version":
+        # read twice: by the groups and by the search for free numbers
+        met = materialize(met, "promote-met")
     if rule.conflict_policy == "skip":
         return met.select("namespace", "grp", "occurrences", "value", "target", F.when(F.col("conflict"), F.lit("skipped")).otherwise(F.lit("promoted")).alias("outcome"))
     if rule.conflict_policy == "version":
@@ -86,11 +90,11 @@ def free_versions(targets: DataFrame, taken: DataFrame) -> DataFrame:
     Taken numbers are ranked; the first that isn't equal to its rank plus one
     shows a gap below it, so nothing is tried one after another.
     """
-    parts = taken.withColumns({"target": F.regexp_extract("taken", r"^(.*)_v(?:[2-9]|[1-9][0-9]{1,8})$", 1), "n": F.regexp_extract("taken", r"_v([0-9]{1,9})$", 1).try_cast("int")}).where((F.col("target") != "") & F.col("n").isNotNull())
+    parts = taken.withColumns({"target": F.regexp_extract("taken", r"^(.*)_v(?:[2-9]|[1-9][0-9]+)$", 1), "n": F.regexp_extract("taken", r"_v([0-9]+)$", 1).try_cast("decimal(38,0)")}).where((F.col("target") != "") & F.col("n").isNotNull())
     used = parts.join(targets, ["namespace", "target"], "left_semi").select("namespace", "target", "n").distinct()
     place = F.row_number().over(Window.partitionBy("namespace", "target").orderBy("n")) + 1
     runs = used.withColumn("place", place).where(F.col("n") == F.col("place")).groupBy("namespace", "target").agg(F.max("n").alias("top"))
-    return targets.join(runs, ["namespace", "target"], "left").select("namespace", "target", (F.coalesce("top", F.lit(1)) + 1).alias("version"))
+    return targets.join(runs, ["namespace", "target"], "left").select("namespace", "target", (F.coalesce(F.col("top").cast("long"), F.lit(1)) + 1).alias("version"))
 
 
 def promote_sources(entries: DataFrame, rule: Promote, outcome: DataFrame, as_of_ms: int) -> DataFrame:
@@ -147,6 +151,7 @@ def compress(entries: DataFrame, rule: Compress, as_of_ms: int) -> DataFrame:
 
 def compress_sources(entries: DataFrame, rule: Compress, outcome: DataFrame, as_of_ms: int) -> DataFrame:
     rows = _episodes(entries, as_of_ms).select("namespace", "key", _group_of(rule).alias("grp"))
+    outcome = outcome.where(F.col("outcome") != "failed")
     kept = outcome.select("namespace", "grp", F.col("target").alias("key"))
     return rows.join(outcome.select("namespace", "grp"), ["namespace", "grp"], "left_semi").join(kept, ["namespace", "grp", "key"], "left_anti").select("namespace", "key")
 
@@ -164,14 +169,26 @@ def report_totals(reports: DataFrame) -> DataFrame:
 
 def accumulate_meta(history: DataFrame) -> DataFrame:
     """Last run and running totals per namespace, from totals with ``run_ms``."""
-    return history.groupBy("namespace").agg(F.max("run_ms").alias("last_run_ms"), *[F.sum(c).alias(f"total_{c}") for c in ("promoted", "compressed", "skipped")])
+    return history.groupBy("namespace").agg(F.max("run_ms").alias("last_run_ms"), *[F.sum(c).alias(f"total_{c}") for c in ("promoted", "compressed", "skipped", "failed")])
+
+
+def refuse_over_capacity(state: DataFrame, outcome: DataFrame, capacity: int, shard: Column, as_of_ms: int, policy: limits.Policy = limits.Policy.REJECT) -> DataFrame:
+    """``outcome`` where targets that find no room in their shard have ``failed``, in the order of namespace and target.
+
+    A failed group is left as it is: its sources stay. Keys that exist always have room.
+    """
+    writes = outcome.where(F.col("outcome") != "skipped").select("namespace", F.col("target").alias("key"), F.xxhash64("namespace", "target").alias("seq"))
+    kept = limits.admit(state, writes, capacity, shard, as_of_ms, policy).where("accepted").select("namespace", F.col("key").alias("target"), F.lit(True).alias("__kept")).distinct()
+    met = outcome.join(kept, ["namespace", "target"], "left")
+    fails = (F.col("outcome") != "skipped") & F.col("__kept").isNull()
+    return met.withColumn("outcome", F.when(fails, F.lit("failed")).otherwise(F.col("outcome"))).select(*outcome.columns)
 
 
 def _written(entries: DataFrame, outcome: DataFrame, target_type: str, as_of_ms: int) -> DataFrame:
     """Entries that targets become: an update keeps creation, pin and counts and is boosted, a new one starts afresh."""
     from ..functions.relevance import DEFAULT, boosted, decayed
 
-    new = outcome.where(F.col("outcome") != "skipped").select("namespace", F.col("target").alias("key"), F.col("value").alias("__value"))
+    new = outcome.where(~F.col("outcome").isin("skipped", "failed")).select("namespace", F.col("target").alias("key"), F.col("value").alias("__value"))
     new = new.groupBy("namespace", "key").agg(F.max("__value").alias("__value"))
     old = live(entries, as_of_ms).select("namespace", "key", "relevance", "created_at_ms", "access_count", "pinned", F.lit(True).alias("__there"))
     met = new.join(old, ["namespace", "key"], "left")
@@ -183,20 +200,26 @@ def _written(entries: DataFrame, outcome: DataFrame, target_type: str, as_of_ms:
     )
 
 
-def run_rules(entries: DataFrame, rules: list[Promote | Compress], as_of_ms: int) -> tuple[DataFrame, DataFrame]:
+def run_rules(entries: DataFrame, rules: list[Promote | Compress], as_of_ms: int, capacity: int | None = None, shard: Column | None = None, policy: limits.Policy = limits.Policy.REJECT) -> tuple[DataFrame, DataFrame]:
     """State and report after all rules, in order, over all namespaces at once.
 
+    With a ``capacity`` per ``shard`` a target that finds no room fails and its group stays.
+
     Each rule sees what the ones before it wrote; the state between rules is
     written out, so the plan doesn't grow with the number of rules.
     """
     names = ["namespace", "key", "value", "memory_type", "expires_at_ms", "embedding", "last_accessed_ms", "relevance", "created_at_ms", "access_count", "pinned"]
     state, reports = entries.select(*names), None
+
+    def guarded(held: DataFrame, outcome: DataFrame) -> DataFrame:
+        return outcome if capacity is None else refuse_over_capacity(held, materialize(outcome, "rule"), capacity, shard, as_of_ms, policy)
+
     for rule in rules:
         if isinstance(rule, Promote):
-            outcome, action = materialize(promote(state, rule, as_of_ms), "rule"), "promote"
+            outcome, action = materialize(guarded(state, promote(state, rule, as_of_ms)), "rule"), "promote"
             gone = promote_sources(state, rule, outcome, as_of_ms)
         else:
-            outcome, action = materialize(compress(state, rule, as_of_ms), "rule"), "compress"
+            outcome, action = materialize(guarded(state, compress(state, rule, as_of_ms)), "rule"), "compress"
             gone = compress_sources(state, rule, outcome, as_of_ms) if rule.delete_source else None
         written = _written(state, outcome, rule.target_type, as_of_ms)
         rest = state if gone is None else state.join(gone, ["namespace", "key"], "left_anti")

@@ -103,8 +103,8 @@ def _fold(kept: DataFrame, decay: Decay, rebase_on_write: bool) -> DataFrame:
     return done.select("namespace", "key", "s.set_seq", F.col("s.exp").alias("expires_at_ms"), F.col("s.last").alias("last_accessed_ms"), F.col("s.rel").alias("relevance"), F.col("s.created").alias("created_at_ms"), F.col("s.reads").alias("access_count"), "s.pinned")
 
 
-def replay(ops: DataFrame, as_of_ms: int | None = None, up_to_seq: int | None = None, base: DataFrame | None = None, decay: Decay = DEFAULT, rebase_on_write: bool = False, hot_share: float | None = None, part_width: int = PART_WIDTH) -> DataFrame:
-    """State (``STATE_COLUMNS``) after the log, on top of a ``base`` state if given.
+def replay_parts(ops: DataFrame, as_of_ms: int | None = None, up_to_seq: int | None = None, base: DataFrame | None = None, decay: Decay = DEFAULT, rebase_on_write: bool = False, hot_share: float | None = None, part_width: int = PART_WIDTH) -> tuple[DataFrame, DataFrame | None]:
+    """State (``STATE_COLUMNS``) after the log, on top of a ``base`` state if given, in two parts: keys that the log touches, and the rest of the base.
 
     Operations count once and in the order of ``seq``, whatever order they come
     in. A set on a live key keeps creation, pin and reads and boosts the decayed
@@ -149,12 +149,17 @@ def replay(ops: DataFrame, as_of_ms: int | None = None, up_to_seq: int | None =
     values = ops.where(F.col("op") == "set").select(F.col("seq").alias("set_seq"), "value", "memory_type", "embedding")
     # a set that was delivered twice meets its key twice
     if base is None:
-        return folded.join(values, "set_seq").dropDuplicates(["set_seq"]).select(*STATE_COLUMNS)
+        return folded.join(values, "set_seq").dropDuplicates(["set_seq"]).select(*STATE_COLUMNS), None
     old = base.select("namespace", "key", F.col("value").alias("__v"), F.col("memory_type").alias("__t"), F.col("embedding").alias("__e"))
     out = folded.join(values, "set_seq", "left").dropDuplicates(["namespace", "key"]).join(old, ["namespace", "key"], "left")
     fresh = F.col("set_seq").isNotNull()
-    out = out.withColumns({n: F.when(fresh, F.col(n)).otherwise(F.col(o)) for n, o in (("value", "__v"), ("memory_type", "__t"), ("embedding", "__e"))}).select(*STATE_COLUMNS)
-    return out.unionByName(rest)
+    return out.withColumns({n: F.when(fresh, F.col(n)).otherwise(F.col(o)) for n, o in (("value", "__v"), ("memory_type", "__t"), ("embedding", "__e"))}).select(*STATE_COLUMNS), rest
+
+
+def replay(ops: DataFrame, *args, **named) -> DataFrame:
+    """State (``STATE_COLUMNS``) after the log: what ``replay_parts`` gives, put together."""
+    changed, rest = replay_parts(ops, *args, **named)
+    return changed if rest is None else changed.unionByName(rest)
 
 
 def last_writes(ops: DataFrame, as_of_ms: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import prefix_of_pattern, shard_of
+from ..functions.keys import is_live, next_power_of_two, prefix_of_pattern, shard_of
 from ..sources import full_key
 from .access import live, with_meta
 
@@ -64,3 +64,14 @@ def type_histogram(entries: DataFrame, as_of_ms: int) -> DataFrame:
 def shard_histogram(entries: DataFrame, shards: int) -> DataFrame:
     """Entries per shard, expired ones too."""
     return entries.groupBy(shard_of(full_key(), shards).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def info(entries: DataFrame, as_of_ms: int, shards: int, capacity_per_shard: int, policy: str) -> DataFrame:
+    """One row on the store: ``(version, policy, shards, capacity, entries, live, namespaces)``."""
+    from .. import __version__
+
+    is_there = is_live(F.col("expires_at_ms"), as_of_ms)
+    n = next_power_of_two(shards)
+    return entries.agg(F.count(F.lit(1)).alias("entries"), F.count_if(is_there).alias("live"), F.count_distinct("namespace").alias("namespaces")).select(
+        F.lit(__version__).alias("version"), F.lit(policy).alias("policy"), F.lit(n).alias("shards"), F.lit(n * capacity_per_shard).cast("long").alias("capacity"), "entries", "live", "namespaces"
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import SHARES
 from .access import live
+from .prefixes import prefix_pairs
 
 
 def current_shares(shares: DataFrame) -> DataFrame:
@@ -44,11 +45,11 @@ def shared_with(shares: DataFrame, target: str) -> DataFrame:
 def visible_entries(entries: DataFrame, shares: DataFrame, as_of_ms: int) -> DataFrame:
     """``(target_namespace, namespace, key)``: entries that each namespace sees of others, by any grant, within its prefix.
 
-    Met by the owning namespace; the prefix is tested row by row, in lists too.
+    Keys meet the prefixes that they begin with by equality; the prefix holds in lists, too.
     """
-    s = current_shares(shares).select(F.col("source_namespace").alias("namespace"), "target_namespace", F.coalesce("key_prefix", F.lit("")).alias("__prefix"))
-    rows = live(entries, as_of_ms).select("namespace", "key").join(s, "namespace")
-    return rows.where(F.col("key").startswith(F.col("__prefix"))).select("target_namespace", "namespace", "key").distinct()
+    s = current_shares(shares).groupBy(F.col("source_namespace").alias("namespace"), F.coalesce("key_prefix", F.lit("")).alias("prefix")).agg(F.collect_set("target_namespace").alias("targets"))
+    rows = prefix_pairs(live(entries, as_of_ms).select("namespace", "key"), s)
+    return rows.select(F.explode("targets").alias("target_namespace"), "namespace", "key").distinct()
 
 
 def check_access(requests: DataFrame, shares: DataFrame) -> DataFrame:

@@ -2,41 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.relevance import decayed
 from ..schema import DEFAULT_COOLDOWN_MS
 from .access import live
+from .prefixes import prefix_pairs
 
 KINDS = ("min_entries", "max_age", "match_count")
 
 
+def _prefix(column: str = "key_prefix") -> Column:
+    return F.coalesce(column, F.lit(""))
+
+
+def _cutoff(as_of_ms: int) -> Column:
+    return F.greatest(F.lit(as_of_ms) - F.col("max_age_ms"), F.lit(0)).cast("long")
+
+
 def _matches(triggers: DataFrame, entries: DataFrame, as_of_ms: int) -> DataFrame:
     """Live entries that count for each trigger: its id with each of them.
 
-    Met by namespace; prefix and age are conditions on top.
+    Prefixes meet the keys that begin with them by equality; a namespace meets its
+    other triggers, which take all of it or the old ones.
     """
-    t = triggers.select("id", "kind", "namespace", "threshold", "max_age_ms", F.coalesce("key_prefix", F.lit("")).alias("__prefix"))
     rows = live(entries, as_of_ms)
-    fits = F.when(F.col("kind") == "max_age", F.col("created_at_ms") < F.greatest(F.lit(as_of_ms) - F.col("max_age_ms"), F.lit(0))).when(F.col("kind") == "match_count", F.col("key").startswith(F.col("__prefix"))).otherwise(F.col("kind") == "min_entries")
-    return rows.join(t, "namespace").where(fits)
+    whole = triggers.where(F.col("kind") != "match_count").select("id", "namespace", F.when(F.col("kind") == "max_age", _cutoff(as_of_ms)).alias("__before"))
+    old = rows.join(whole, "namespace").where(F.col("__before").isNull() | (F.col("created_at_ms") < F.col("__before"))).drop("__before")
+    by_prefix = triggers.where(F.col("kind") == "match_count").groupBy("namespace", _prefix().alias("prefix")).agg(F.collect_list("id").alias("__ids"))
+    some = prefix_pairs(rows, by_prefix).withColumn("id", F.explode("__ids"))
+    return old.unionByName(some.select(*old.columns))
 
 
 def counts(triggers: DataFrame, entries: DataFrame, as_of_ms: int) -> DataFrame:
     """``(id, matched, holds)`` of every trigger.
 
-    Entries are counted per namespace and creation where that is enough, before
-    they meet the triggers: only prefix counts look at single keys.
+    Nothing is counted per trigger and entry: entries are counted per namespace, per
+    namespace and prefix, and per namespace and the stretch between two of its
+    triggers' ages in which they were created; triggers then add up what they cover.
     """
     rows = live(entries, as_of_ms)
-    per_ns = rows.groupBy("namespace").agg(F.count(F.lit(1)).alias("n_all"))
-    whole = triggers.where(F.col("kind") == "min_entries").join(per_ns, "namespace", "left").select("id", F.coalesce("n_all", F.lit(0)).alias("matched"))
-    single = triggers.where(F.col("kind") != "min_entries")
-    some = _matches(single, entries.select("namespace", "key", "created_at_ms", "expires_at_ms"), as_of_ms).groupBy("id").agg(F.count(F.lit(1)).alias("matched"))
-    rest = single.select("id").join(some, "id", "left").select("id", F.coalesce("matched", F.lit(0)).alias("matched"))
+    # a namespace's ages, sorted; an entry's place among them tells for which it is old enough
+    aged = triggers.where(F.col("kind") == "max_age").select("id", "namespace", _cutoff(as_of_ms).alias("__before"))
+    ages = aged.groupBy("namespace").agg(F.sort_array(F.collect_set("__before")).alias("__ages"))
+    placed = rows.select("namespace", "created_at_ms").join(ages, "namespace", "left")
+    place = F.when(F.col("__ages").isNotNull() & F.col("created_at_ms").isNotNull(), F.size(F.filter("__ages", lambda x: x <= F.col("created_at_ms"))))
+    per_place = placed.groupBy("namespace", place.alias("__place")).agg(F.count(F.lit(1)).alias("n"))
+    per_ns = per_place.groupBy("namespace").agg(F.sum("n").alias("matched"))
+    all_places = ages.select("namespace", F.posexplode("__ages").alias("__place", "__before"))
+    upto = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("namespace").orderBy("__place"))
+    olds = all_places.join(per_place, ["namespace", "__place"], "left").select("namespace", "__before", upto.alias("matched"))
+    prefixes = triggers.where(F.col("kind") == "match_count").select("namespace", _prefix().alias("prefix")).distinct()
+    per_prefix = prefix_pairs(rows.select("namespace", "key"), prefixes).groupBy("namespace", "prefix").agg(F.count(F.lit(1)).alias("matched"))
+    found = [
+        triggers.where(F.col("kind") == "min_entries").select("id", "namespace").join(per_ns, "namespace", "left"),
+        aged.join(olds, ["namespace", "__before"], "left"),
+        triggers.where(F.col("kind") == "match_count").select("id", "namespace", _prefix().alias("prefix")).join(per_prefix, ["namespace", "prefix"], "left"),
+    ]
+    matched = reduce(DataFrame.unionByName, [x.select("id", F.coalesce("matched", F.lit(0)).cast("long").alias("matched")) for x in found])
     need = F.when(F.col("kind") == "max_age", F.lit(1)).otherwise(F.col("threshold"))
-    return whole.unionByName(rest).join(triggers.select("id", "kind", "threshold"), "id").select("id", "matched", (F.col("matched") >= need).alias("holds"))
+    return matched.join(triggers.select("id", "kind", "threshold"), "id").select("id", "matched", (F.col("matched") >= need).alias("holds"))
 
 
 def can_fire(triggers: DataFrame, as_of_ms: int, force: bool = False) -> DataFrame:
@@ -68,16 +96,32 @@ def mark_fired(triggers: DataFrame, fired: DataFrame, as_of_ms: int) -> DataFram
     return triggers.join(now, "id", "left").withColumn("last_fired_ms", F.coalesce("__now", "last_fired_ms")).drop("__now")
 
 
-def payloads(triggers: DataFrame, fired: DataFrame, as_of_ms: int) -> DataFrame:
+def payloads(triggers: DataFrame, fired: DataFrame, as_of_ms: int, entries: DataFrame | None = None, part_entries: int = 1000) -> DataFrame:
     """``(id, action_type, url, payload)``: what an action of each fired trigger is given, as JSON.
 
-    The entries go with it by ``matching_entries``, not in one value, as a
-    namespace may be large.
+    With ``entries`` (as ``matching_entries`` gives them) the payload lists them, and rows
+    have ``headers`` of a webhook, ``part`` and ``parts``: a payload holds at most about
+    ``part_entries`` entries, dealt by their keys, as a namespace may be large.
     """
-    action = F.from_json("action", "struct<type:string,url:string>")
+    action = F.from_json("action", "struct<type:string,url:string,headers:map<string,string>>")
     met = triggers.join(fired.select("id", "matched"), "id")
-    body = F.to_json(F.struct(F.col("id").alias("trigger_id"), "namespace", F.lit(as_of_ms).alias("fired_at_ms"), "matched"))
-    return met.select("id", action["type"].alias("action_type"), action["url"].alias("url"), body.alias("payload"))
+    head = [F.col("id").alias("trigger_id"), F.col("namespace"), F.lit(as_of_ms).alias("fired_at_ms"), F.col("matched")]
+    if entries is None:
+        return met.select("id", action["type"].alias("action_type"), action["url"].alias("url"), F.to_json(F.struct(*head)).alias("payload"))
+    parts = F.greatest(F.ceil(F.col("matched") / part_entries), F.lit(1)).cast("long")
+    told = ["key", "value", "memory_type", "relevance", "created_at_ms", "access_count"]
+    dealt = entries.join(met.select("id", parts.alias("parts")), "id").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
+    lists = dealt.groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct(*told))).alias("entries"))
+    every = met.withColumns({"parts": parts, "part": F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))})
+    body = F.to_json(F.struct(*head, F.coalesce("entries", F.array()).alias("entries")))
+    out = every.join(lists, ["id", "part"], "left")
+    return out.select("id", action["type"].alias("action_type"), action["url"].alias("url"), action["headers"].alias("headers"), "part", "parts", body.alias("payload"))
+
+
+def contexts(triggers: DataFrame, entries: DataFrame, as_of_ms: int, force: bool = False) -> DataFrame:
+    """What firing leaves behind: a row for each firing trigger and entry, ``(trigger_id, namespace, fired_at_ms, key, value, ...)``."""
+    rows = matching_entries(triggers, entries, as_of_ms, force)
+    return rows.select(F.col("id").alias("trigger_id"), "namespace", F.lit(as_of_ms).cast("long").alias("fired_at_ms"), *[c for c in rows.columns if c not in ("id", "namespace")])
 
 
 class Registry:

@@ -9,8 +9,8 @@ from ..functions.vectors import cosine_distance, norm
 from ..schema import DEFAULT_TOP_K
 from .access import live
 
-#: Queries that one pass holds at most; a larger set is answered in several passes.
-QUERY_BLOCK = 10_000
+#: Parts into which a namespace's entries are dealt where queries meet them.
+PARTS = 32
 
 
 def searchable(entries: DataFrame, as_of_ms: int) -> DataFrame:
@@ -39,17 +39,18 @@ def top_k(entries: DataFrame, namespace: str, query: list[float], as_of_ms: int,
 def multi_top_k(entries: DataFrame, queries: DataFrame, as_of_ms: int, k: int = DEFAULT_TOP_K) -> DataFrame:
     """``(query_id, key, value, distance, rank)`` for queries ``(query_id, namespace, embedding)``.
 
-    Each query meets the entries of its own namespace only, by an equi-join that
-    AQE may broadcast or split; norms are taken once per vector.
+    Each query meets the entries of its own namespace only. These are dealt into
+    ``PARTS`` by their keys and a query goes to each part, so that a hot namespace isn't
+    met in one task; a part is cut to ``k`` where it is met. Norms are taken once per
+    vector.
     """
-    q = queries.select("query_id", F.col("namespace"), F.col("embedding").alias("__q")).withColumn("__qn", norm(F.col("__q")))
-    rows = searchable(entries, as_of_ms).join(q, "namespace").where(F.size("embedding") == F.size("__q"))
-    scored = rows.select("query_id", "key", "value", cosine_distance(F.col("embedding"), F.col("__q"), F.col("norm"), F.col("__qn")).alias("distance"))
-    # a part of each query's candidates is cut to k first, so no query is ranked in one task alone
-    salt = F.pmod(F.xxhash64("key"), F.lit(32))
-    parts = Window.partitionBy("query_id", salt).orderBy("distance", "key")
+    q = queries.select("query_id", F.col("namespace"), F.col("embedding").alias("__q"), F.explode(F.array(*[F.lit(i) for i in range(PARTS)])).alias("__part")).withColumn("__qn", norm(F.col("__q")))
+    rows = searchable(entries, as_of_ms).withColumn("__part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
+    rows = rows.join(q, ["namespace", "__part"]).where(F.size("embedding") == F.size("__q"))
+    scored = rows.select("query_id", "__part", "key", "value", cosine_distance(F.col("embedding"), F.col("__q"), F.col("norm"), F.col("__qn")).alias("distance"))
+    parts = Window.partitionBy("query_id", "__part").orderBy("distance", "key")
     whole = Window.partitionBy("query_id").orderBy("distance", "key")
-    cut = scored.withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= k)
+    cut = scored.withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= k).drop("__part")
     return cut.withColumn("rank", F.row_number().over(whole)).where(F.col("rank") <= k)
 
 

@@ -45,15 +45,15 @@ def _fold_sql(keep: str = "true") -> str:
       CASE WHEN r.op = 'set' OR {counted} THEN r.ts_ms ELSE f.last END, CASE WHEN r.op = 'set' THEN r.seq ELSE f.set_seq END
     FROM f JOIN r ON r.namespace = f.namespace AND r.key = f.key AND r.i = f.i + 1),
   ended AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY namespace, key ORDER BY i DESC) = 1),
-  state AS (SELECT e.namespace, e.key, d.value, d.memory_type, e.exp AS expires_at_ms, e.last AS last_accessed_ms, e.rel AS relevance, e.created AS created_at_ms, e.reads AS access_count, e.pinned
+  state AS (SELECT e.namespace, e.key, d.value, d.memory_type, d.embedding, e.exp AS expires_at_ms, e.last AS last_accessed_ms, e.rel AS relevance, e.created AS created_at_ms, e.reads AS access_count, e.pinned
     FROM ended e JOIN d ON d.seq = e.set_seq WHERE e.there)"""
 
 
-_STATE = "SELECT namespace, key, value, memory_type, expires_at_ms, last_accessed_ms, round(relevance, 6) AS relevance, created_at_ms, access_count, pinned FROM state"
+_STATE = "SELECT namespace, key, value, memory_type, embedding, expires_at_ms, last_accessed_ms, round(relevance, 6) AS relevance, created_at_ms, access_count, pinned FROM state"
 
 
 def _plain(state: DataFrame) -> DataFrame:
-    return state.drop("embedding").withColumn("relevance", F.round("relevance", 6))
+    return state.withColumn("relevance", F.round("relevance", 6))
 
 
 @C.add(_fold_sql() + _STATE)
@@ -86,13 +86,13 @@ def wal_retention(spark: SparkSession, d: str) -> DataFrame:
     return replay.retain_last(load(spark, d, "ops"), 500).select("seq", "op")
 
 
-@C.add(_fold_sql() + "SELECT namespace, key, value, memory_type, expires_at_ms, created_at_ms, access_count, pinned FROM state")
+@C.add(_fold_sql() + _STATE)
 def resync(spark: SparkSession, d: str) -> DataFrame:
     """State from a base that covers the first half of the log, and the rest of the log on top."""
     ops = load(spark, d, "ops")
     half = ops.agg((F.max("seq") / 2).cast("long")).first()[0]
     base = replay.replay(ops, up_to_seq=half)
-    return replay.replay(ops.where(F.col("seq") > half), base=base).select("namespace", "key", "value", "memory_type", "expires_at_ms", "created_at_ms", "access_count", "pinned")
+    return _plain(replay.replay(ops.where(F.col("seq") > half), base=base))
 
 
 @C.add("SELECT namespace, op, count(*) AS n, min(ts_ms) AS first_ts_ms, max(ts_ms) AS last_ts_ms FROM (SELECT DISTINCT seq, op, namespace, ts_ms FROM ops) GROUP BY ALL")
@@ -119,9 +119,9 @@ def snapshot_scores(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("namespace", "key", F.round("relevance", 6).alias("relevance"), "pinned")
 
 
-@C.add()
+@C.add(f"SELECT namespace, count(*) AS entries, CAST(sum(CAST(concat('0x', substr(md5(concat_ws(chr(1), key, coalesce(value, chr(2)), memory_type)), 1, 8)) AS BIGINT)) AS BIGINT) AS digest FROM entries WHERE {LIVE} GROUP BY namespace")
 def snapshot_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return snapshot.manifest(access.live(entries(spark, d), AS_OF))
+    return snapshot.manifest(access.live(entries(spark, d), AS_OF)).drop("checksum")
 
 
 # --- streams, each driven to its end over the same files

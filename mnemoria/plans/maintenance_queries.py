@@ -118,7 +118,7 @@ def compress_report(spark: SparkSession, d: str) -> DataFrame:
 
 @C.add(
     f"""WITH totals AS (SELECT namespace, least(count(*), 1) AS n FROM entries WHERE {LIVE} AND memory_type = 'episodic' GROUP BY namespace, {_SEGMENT} HAVING count(*) >= 3)
-  SELECT namespace, CAST({AS_OF + 300000} AS BIGINT) AS last_run_ms, CAST(0 AS BIGINT) AS total_promoted, CAST(2 * sum(n) AS BIGINT) AS total_compressed, CAST(0 AS BIGINT) AS total_skipped FROM totals GROUP BY namespace"""
+  SELECT namespace, CAST({AS_OF + 300000} AS BIGINT) AS last_run_ms, CAST(0 AS BIGINT) AS total_promoted, CAST(2 * sum(n) AS BIGINT) AS total_compressed, CAST(0 AS BIGINT) AS total_skipped, CAST(0 AS BIGINT) AS total_failed FROM totals GROUP BY namespace"""
 )
 def consolidation_meta(spark: SparkSession, d: str) -> DataFrame:
     totals = consolidate.report_totals(consolidate.report(consolidate.compress(entries(spark, d), Compress(min_episodes=3), AS_OF), "compress"))

@@ -110,11 +110,19 @@ def type_histogram(spark: SparkSession, d: str) -> DataFrame:
     return scan.type_histogram(entries(spark, d), AS_OF)
 
 
-@C.add()
+_SHARD = "CAST(concat('0x', substr(md5(namespace || ':' || key), 1, 8)) AS BIGINT) % 64"
+
+
+@C.add(f"SELECT CAST({_SHARD} AS INTEGER) AS shard, count(*) AS n FROM entries GROUP BY 1")
 def shard_histogram(spark: SparkSession, d: str) -> DataFrame:
     return scan.shard_histogram(entries(spark, d), 64)
 
 
+@C.add(f"SELECT '0.1.0' AS version, 'reject' AS policy, 64 AS shards, CAST(64000 AS BIGINT) AS capacity, count(*) AS entries, count(*) FILTER (WHERE {LIVE}) AS live, count(DISTINCT namespace) AS namespaces FROM entries")
+def store_info(spark: SparkSession, d: str) -> DataFrame:
+    return scan.info(entries(spark, d), AS_OF, 64, 1000, "reject")
+
+
 @C.add(f"WITH {META_DEFAULT} SELECT namespace, key, value, memory_type, ttl_ms, round(relevance, 6) AS relevance, access_count, pinned FROM meta ORDER BY relevance DESC, namespace, key")
 def relevance_scan(spark: SparkSession, d: str) -> DataFrame:
     return _R(scan.relevance_scan(entries(spark, d), "", AS_OF), "relevance")

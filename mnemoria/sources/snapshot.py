@@ -72,6 +72,7 @@ def restore(spark: SparkSession, root: str, as_of_ms: int, current: DataFrame |
 
 
 def manifest(entries: DataFrame) -> DataFrame:
-    """``(namespace, entries, checksum)``: a check sum per namespace that doesn't depend on the order of rows."""
-    row = F.crc32(F.concat_ws("\u0001", "key", F.coalesce("value", F.lit("\u0000")), "memory_type").cast("binary"))
-    return entries.groupBy("namespace").agg(F.count(F.lit(1)).alias("entries"), F.sum(row).alias("checksum"))
+    """``(namespace, entries, checksum, digest)``: sums per namespace that don't depend on the order of rows, of CRC-32 and of the first 32 bits of MD5."""
+    row = F.concat_ws("\u0001", "key", F.coalesce("value", F.lit("\u0002")), "memory_type").cast("binary")
+    digest = F.conv(F.substring(F.md5(row), 1, 8), 16, 10).cast("long")
+    return entries.groupBy("namespace").agg(F.count(F.lit(1)).alias("entries"), F.sum(F.crc32(row)).alias("checksum"), F.sum(digest).alias("digest"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions.relevance import DEFAULT, Decay, merge_overrides
 from .operators import access, capacity, consolidate, mutate, reap, replay, scan, sharing, triggers, vector_search
@@ -12,6 +13,9 @@ from .schema import ENTRIES, LOG, SHARES
 from .session import materialize
 from .sources import snapshot
 
+#: Writes after which the state is written as a whole.
+COMPACT = 8
+
 
 @dataclass
 class Store:
@@ -30,6 +34,8 @@ class Store:
     registry: triggers.Registry = field(default_factory=triggers.Registry)
     rules: list = field(default_factory=list)
     history: DataFrame | None = None
+    consolidates: bool = True
+    depth: int = 0
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Store:
@@ -46,7 +52,7 @@ class Store:
         return cls(spark, materialize(replay.replay(ops, as_of_ms=as_of_ms), "store"), ops)
 
     def _with(self, **changes) -> Store:
-        names = ("spark", "entries", "ops", "shares", "overrides", "decay", "registry", "rules", "history")
+        names = ("spark", "entries", "ops", "shares", "overrides", "decay", "registry", "rules", "history", "consolidates", "depth")
         return Store(**({n: getattr(self, n) for n in names} | changes))
 
     # --- reads
@@ -97,8 +103,18 @@ class Store:
     # --- writes
 
     def apply(self, ops: DataFrame) -> Store:
-        """The store after more operations of the log, on top of its state."""
-        return self._with(entries=materialize(replay.replay(ops, base=self.entries, decay=self.decay), "store"), ops=ops if self.ops is None else self.ops.unionByName(ops, allowMissingColumns=True))
+        """The store after more operations of the log, on top of its state.
+
+        Only the state of keys that the operations touch is folded and written; the rest
+        is the old one without them. After ``COMPACT`` such steps all of it is written.
+        """
+        changed, rest = replay.replay_parts(ops, base=self.entries, decay=self.decay)
+        entries, depth = materialize(changed, "store"), self.depth + 1
+        if rest is not None:
+            entries = entries.unionByName(rest)
+        if depth >= COMPACT:
+            entries, depth = materialize(entries, "store"), 0
+        return self._with(entries=entries, depth=depth, ops=ops if self.ops is None else self.ops.unionByName(ops, allowMissingColumns=True))
 
     def put(self, writes: DataFrame, as_of_ms: int, first_seq: int, nx: bool = False, xx: bool = False, apply_type_default_ttl: bool = False) -> Store:
         """Set ``(pos, namespace, key, value[, memory_type, ttl_ms, embedding])``, in the order of ``pos``.
@@ -149,9 +165,11 @@ class Store:
         return self._with(entries=mutate.delete_keys(self.entries, capacity.evict_lru(self.entries, capacity_per_shard, shard)))
 
     def consolidate(self, as_of_ms: int, kind: str | None = None) -> tuple[Store, DataFrame]:
-        """Run the rules, all or only ``promote`` or ``compress`` ones; needs rules to be set."""
+        """Run the rules, all or only ``promote`` or ``compress`` ones; needs rules to be set and consolidation to be on."""
         if not self.rules:
             raise ValueError("no consolidation rules are set")
+        if not self.consolidates:
+            raise ValueError("consolidation is off")
         chosen = [r for r in self.rules if kind is None or type(r).__name__.lower() == kind]
         state, report = consolidate.run_rules(self.entries, chosen, as_of_ms)
         from pyspark.sql import functions as F
@@ -159,6 +177,10 @@ class Store:
         totals = consolidate.report_totals(report).withColumn("run_ms", F.lit(as_of_ms).cast("long"))
         return self._with(entries=state, history=totals if self.history is None else self.history.unionByName(totals)), report
 
+    def with_rules(self, rules: list, enabled: bool | None = None) -> Store:
+        """Other rules in place of those set, and consolidation on or off if told."""
+        return self._with(rules=list(rules), consolidates=self.consolidates if enabled is None else enabled)
+
     def consolidation_status(self) -> DataFrame | None:
         return None if self.history is None else consolidate.accumulate_meta(self.history)
 
@@ -200,8 +222,64 @@ class Store:
     def restore(self, root: str, as_of_ms: int) -> Store:
         return self._with(entries=snapshot.restore(self.spark, root, as_of_ms, self.entries))
 
+    def info(self, as_of_ms: int, shards: int, capacity_per_shard: int, policy: str = "reject") -> DataFrame:
+        return scan.info(self.entries, as_of_ms, shards, capacity_per_shard, policy)
+
+    def as_caller(self, token: str | None, tokens: DataFrame) -> Guarded:
+        """The store as the holder of a token sees it: each command is checked first."""
+        return Guarded(self, token, tokens)
+
     def create_views(self) -> None:
         """``entries``, ``ops`` and ``shares`` for Spark SQL."""
         for name in ("entries", "ops", "shares"):
             if getattr(self, name) is not None:
                 getattr(self, name).createOrReplaceTempView(name)
+
+
+#: Commands of a store that name keys, by how: whether they write, and where the namespace and the key or prefix stand.
+_BY_KEY = {"get": False, "get_with_meta": False, "list": False, "search": False, "delete_namespace": True, "delete_prefix": True}
+_BY_KEYS = {"mget": False, "mgett": False, "mtype": False, "batch_get": False, "relevance": False, "delete": True, "pin": True}
+_BY_PREFIX = {"scan": False, "keys": False, "count": False}
+
+
+class Guarded:
+    """A store behind a token. Commands outside its namespaces and grants raise ``PermissionError``; those without a namespace need a token for all."""
+
+    def __init__(self, store: Store, token: str | None, tokens: DataFrame):
+        self._store, self._token, self._tokens = store, token, tokens
+
+    def _check(self, wanted: list[tuple[str | None, str | None]], is_write: bool) -> None:
+        store = self._store
+        rows = [(i, self._token, ns, key, is_write) for i, (ns, key) in enumerate(wanted)]
+        asked = store.spark.createDataFrame(rows, "request_id long, token string, namespace string, key string, is_write boolean")
+        refused = sharing.authorize(asked, self._tokens, store.shares).where(~F.col("allowed")).select("namespace", "key").collect()
+        if refused:
+            raise PermissionError(f"no access to {sorted({f'{r.namespace}:{r.key or str()}' for r in refused})}")
+
+    def __getattr__(self, name: str):
+        command = getattr(self._store, name)
+        if not callable(command):
+            raise AttributeError(name)
+
+        def split(full: str) -> tuple[str, str | None]:
+            ns, colon, rest = full.partition(":")
+            return ns, rest if colon else None
+
+        def run(*args, **named):
+            if name in _BY_KEY:
+                ns = args[0] if args else named["namespace"]
+                second = args[1] if len(args) > 1 else named.get("key", named.get("prefix"))
+                self._check([(ns, second if name in ("get", "get_with_meta", "delete_prefix") else named.get("prefix"))], _BY_KEY[name])
+            elif name in _BY_KEYS:
+                self._check([split(k) for k in (args[0] if args else named["keys"])], _BY_KEYS[name])
+            elif name in _BY_PREFIX:
+                self._check([split((args[0] if args else next(iter(named.values()))).rstrip("*"))], _BY_PREFIX[name])
+            elif name == "put":
+                writes = args[0] if args else named["writes"]
+                self._check([(r["namespace"], r["key"]) for r in writes.select("namespace", "key").collect()], True)
+            else:
+                self._check([("*", None)], True)
+            out = command(*args, **named)
+            return Guarded(out, self._token, self._tokens) if isinstance(out, Store) else out
+
+        return run
