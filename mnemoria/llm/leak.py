@@ -52,9 +52,9 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocabulary: dict[str, int] = {}
         self.ids = {i: np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(t)], np.int32) for i, t in rows}
-        # a passage shorter than a seed is looked for as a whole
-        self.lengths = sorted({min(SEED_WORDS, len(x)) for x in self.ids.values() if len(x)})
-        self.grams = {i: _gram_codes(x, min(SEED_WORDS, len(x))) for i, x in self.ids.items() if len(x)}
+        # a passage shorter than a seed says nothing: any text may hold its few words
+        self.grams = {i: _gram_codes(x, SEED_WORDS) for i, x in self.ids.items() if len(x) >= SEED_WORDS}
+        self.lengths = [SEED_WORDS] if self.grams else []
         each = [np.zeros(0, np.int64), *self.grams.values()]
         grams = np.concatenate(each)
         order = np.argsort(grams, kind="stable")
@@ -103,28 +103,48 @@ def _scan(items: Broadcast):
     return scan
 
 
+def _row(above: np.ndarray, word: int, text: np.ndarray, slope: np.ndarray) -> np.ndarray:
+    """The next row of the alignment's scores; a gap along the text is a running maximum."""
+    step = np.where((text == word) & (text > 0), MATCH, MISMATCH)
+    row = np.maximum(above[1:] + GAP, above[:-1] + step)
+    row = np.concatenate([[0], np.maximum(row, 0)])
+    return (np.maximum.accumulate(row + slope) - slope).astype(np.int32)
+
+
 def align(passage: np.ndarray, text: np.ndarray) -> tuple[int, int, int, int, int]:
     """Smith-Waterman over word numbers: score, equal words of the best alignment, its columns, its first and last word in the text.
 
-    One row per word of the passage. A gap along the text is a running maximum,
-    so each row takes a few array operations instead of a step per cell.
+    One row per word of the passage, each a few array operations. Of the rows one in
+    ``sqrt(n)`` is kept; on the way back the rows between two of these are made again, so
+    that no more than twice the root of the passage's words are held.
     """
     n, m = len(passage), len(text)
-    score = np.zeros((n + 1, m + 1), np.int32)
     slope = np.arange(m + 1, dtype=np.int32) * -GAP
-    for i in range(1, n + 1):
-        step = np.where((text == passage[i - 1]) & (text > 0), MATCH, MISMATCH)
-        row = np.maximum(score[i - 1, 1:] + GAP, score[i - 1, :-1] + step)
-        row = np.concatenate([[0], np.maximum(row, 0)])
-        score[i] = np.maximum.accumulate(row + slope) - slope
-    i, j = divmod(int(score.argmax()), m + 1)
-    best, last, equal, columns = int(score[i, j]), j, 0, 0
-    while score[i, j] > 0:
-        hit = text[j - 1] == passage[i - 1] and text[j - 1] > 0
+    stride = max(1, int(n**0.5))
+    row, kept = np.zeros(m + 1, np.int32), {0: np.zeros(m + 1, np.int32)}
+    best, i, j = 0, 0, 0
+    for at in range(1, n + 1):
+        row = _row(row, passage[at - 1], text, slope)
+        top = int(row.argmax())
+        if row[top] > best:
+            best, i, j = int(row[top]), at, top
+        if at % stride == 0:
+            kept[at] = row
+    last, equal, columns, base, rows = j, 0, 0, -1, []
+    while i > 0 and j >= 0:
+        start = (i - 1) // stride * stride
+        if start != base:
+            base, rows = start, [kept[start]]
+            for at in range(start + 1, min(start + stride, n) + 1):
+                rows.append(_row(rows[-1], passage[at - 1], text, slope))
+        here, above = rows[i - base], rows[i - 1 - base]
+        if here[j] <= 0:
+            break
+        hit = bool(text[j - 1] == passage[i - 1] and text[j - 1] > 0)
         columns += 1
-        if score[i, j] == score[i - 1, j - 1] + (MATCH if hit else MISMATCH):
+        if here[j] == above[j - 1] + (MATCH if hit else MISMATCH):
             equal, i, j = equal + hit, i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] + GAP:
+        elif here[j] == above[j] + GAP:
             i -= 1
         else:
             j -= 1
@@ -169,8 +189,16 @@ def _verify(items: Broadcast, least_score: int):
     return verify
 
 
+#: Words of a text that one alignment takes, unless the passage needs more.
+REGION_WORDS = 20_000
+
+
 def _regions(starts: list[int], size: int, end: int) -> list[tuple[int, int]]:
-    """Stretches of the text around the places where the passage would begin, with room for words put in."""
+    """Stretches of the text around the places where the passage would begin, with room for words put in.
+
+    An alignment scores more than nothing only over at most three times the passage's
+    words, so a long stretch is cut into parts that overlap by that much and none is lost.
+    """
     out: list[list[int]] = []
     for start in starts:
         low, high = max(0, start - size // 2), min(end, start + 2 * size)
@@ -178,7 +206,8 @@ def _regions(starts: list[int], size: int, end: int) -> list[tuple[int, int]]:
             out[-1][1] = max(out[-1][1], high)
         else:
             out.append([low, high])
-    return [(a, b) for a, b in out]
+    width = max(REGION_WORDS, 6 * size)
+    return [(x, min(b, x + width)) for a, b in out for x in range(a, max(a + 1, b - 3 * size), width - 3 * size)]
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", least_score: int = MATCH * WINDOW_WORDS) -> DataFrame:
@@ -189,7 +218,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     copies, parts and edited copies. The two must share five words in a row
     somewhere; edits that leave no five words together aren't looked for. ``identity`` is the share of equal words in
     the alignment, ``covered`` the share of the passage's words. Null and empty
-    texts and passages without words have no leaks. An empty table on either side gives no rows. Repeated rows are
+    texts and passages of fewer than five words have no leaks. An empty table on either side gives no rows. Repeated rows are
     reported once. Other columns aren't read.
 
     The corpus is read once for each block of items. Texts are scanned where they

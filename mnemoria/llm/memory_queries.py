@@ -77,7 +77,7 @@ def _neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
-    return _neighbours(spark, folder).withColumn("similarity", F.round("similarity", 6))
+    return _neighbours(spark, folder).select("id", "neighbour")
 
 
 _SQL_NEAR = """
@@ -132,6 +132,6 @@ linked AS (SELECT s.a AS rep, count(*) AS links FROM shared s JOIN classed x ON
 SELECT id, classed.rep, copies, coalesce(links, 0) AS links FROM classed LEFT JOIN linked ON linked.rep = classed.rep
 """
 )
-P3_NEIGHBOURS = _SQL_NEAR + "SELECT id, neighbour, round(similarity, 6) AS similarity FROM nearest"
+P3_NEIGHBOURS = _SQL_NEAR + "SELECT id, neighbour FROM nearest"
 QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_copy_counts, p3_found, p3_neighbours, p7_found, p7_top_five)}
 ORACLE = {"p1_found": P1_FOUND, "p1_classes": P1_CLASSES, "p2_found": P2_FOUND, "p2_copy_counts": P2_COPY_COUNTS, "p3_found": P3_FOUND, "p3_neighbours": P3_NEIGHBOURS, "p7_found": P7_FOUND, "p7_top_five": P7_TOP_FIVE}

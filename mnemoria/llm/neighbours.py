@@ -19,6 +19,9 @@ SAMPLE_PER_LIST = 16
 MAX_LISTS = 4_096
 #: Lists of one cell. A cell is the unit that moves: a query goes once to each cell with lists it probes.
 LISTS_PER_CELL = 16
+#: Share of true neighbours that the probed lists must hold, measured on so many vectors against all others.
+RECALL, MEASURED = 0.995, 256
+#: Lists that are probed at least.
 PROBES = 12
 #: Dimensions that are looked at before each test.
 COLUMN_BLOCK = 16
@@ -137,7 +140,43 @@ def _count_cells(index, dims: int, probes: int):
     return count
 
 
-def scan_list(queries: np.ndarray, homes: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ranks(index, asked: np.ndarray, names: list[str], dims: int, keep: int, farthest: float):
+    """The ``keep`` nearest of each asked vector among a partition's, exactly, each with the place of its list among those the asked one would probe."""
+
+    def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Index = index.value
+        order = held.probes(asked, len(held.centroids))
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], 1)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vectors, own = _matrix(batch.column("vec").to_pylist(), dims), np.asarray(batch.column("rep").to_pylist(), object)
+            near = 2 - 2 * asked @ vectors.T
+            near[np.asarray(names, object)[:, None] == own[None, :]] = np.inf
+            n = min(keep, near.shape[1])
+            top = np.argpartition(near, n - 1, axis=1)[:, :n]
+            far = np.take_along_axis(near, top, 1)
+            q, j = np.nonzero(far <= farthest)
+            lists = held.probes(vectors[top[q, j]], 1)[:, 0] if len(q) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(far[q, j].astype(np.float64)), pa.array(place[q, lists].astype(np.int32))], ["q", "far", "place"])
+
+    return ranks
+
+
+def measured_probes(classes: DataFrame, index, total: int, dims: int, k: int, farthest: float, recall: float) -> int:
+    """How many lists hold ``recall`` of the true neighbours of ``MEASURED`` vectors, found by comparing these with all."""
+    share = F.pmod(F.xxhash64(F.lit(3), "rep"), F.lit(1_000_000)) < F.lit(max(1, int(1_000_000 * min(1.0, 1.5 * MEASURED / max(1, total)))))
+    asked = classes.where(share).select("rep", "vec").limit(MEASURED).toPandas()
+    if not len(asked):
+        return PROBES
+    found = classes.select("rep", "vec").mapInArrow(_ranks(index, _matrix(asked["vec"], dims), asked["rep"].tolist(), dims, k, farthest), "q int, far double, place int")
+    near = found.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy("far"))).where(F.col("nth") <= k)
+    places = np.sort(np.array([r["place"] for r in near.select("place").collect()]))
+    return PROBES if not len(places) else max(PROBES, int(places[min(len(places) - 1, int(np.ceil(recall * len(places))) - 1)]) + 1)
+
+
+def scan_list(queries: np.ndarray, homes: np.ndarray, bound: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query, home, squared distance)`` of the pairs that no test abandons.
 
     Distances grow block by block of columns. After each block the distance so
@@ -148,6 +187,9 @@ def scan_list(queries: np.ndarray, homes: np.ndarray, bound: np.ndarray) -> tupl
     blocks = [(a, min(dims, a + COLUMN_BLOCK)) for a in range(0, dims, COLUMN_BLOCK)]
 
     def passes(partial: np.ndarray, seen: int, limit: np.ndarray) -> np.ndarray:
+        if exact and seen < dims:
+            # what is still to come adds to the distance: nothing nearer is dropped
+            return partial <= limit * (1 + 1e-6) + 1e-6
         return partial * (dims / seen) <= limit * (1 + (EPSILON / np.sqrt(seen) if seen < dims else 1e-6)) ** 2
 
     a, b = blocks[0]
@@ -163,7 +205,7 @@ def scan_list(queries: np.ndarray, homes: np.ndarray, bound: np.ndarray) -> tupl
     return i, j, partial
 
 
-def _scan_cell(dims: int, keep: int, farthest: float):
+def _scan_cell(dims: int, keep: int, farthest: float, exact: bool = False):
     def scan(part: pd.DataFrame) -> pd.DataFrame:
         is_query = part["role"].to_numpy() == 1
         asks, homes = part[is_query], part[~is_query]
@@ -192,7 +234,7 @@ def _scan_cell(dims: int, keep: int, farthest: float):
                 step = max(1, _CELLS_AT_ONCE // len(there))
                 for start in range(0, len(asking), step):
                     some = asking[start : start + step]
-                    i, j, dist = scan_list(q[some], h[there], np.minimum(best[some, -1], farthest))
+                    i, j, dist = scan_list(q[some], h[there], np.minimum(best[some, -1], farthest), exact)
                     other = own[some][i] != there[j]
                     i, j, dist = i[other], there[j[other]], dist[other]
                     rows = np.concatenate([i, np.repeat(np.arange(len(some)), keep)])
@@ -213,7 +255,7 @@ def _scan_cell(dims: int, keep: int, farthest: float):
     return scan
 
 
-def nearest_neighbours(df: DataFrame, id_column: str, vector_column: str, k: int = 5, least: float | None = None, dims: int = 64, probes: int = PROBES, lists: int | None = None) -> DataFrame:
+def nearest_neighbours(df: DataFrame, id_column: str, vector_column: str, k: int = 5, least: float | None = None, dims: int = 64, probes: int | None = None, lists: int | None = None, exact: bool = False) -> DataFrame:
     """``(id, neighbour, similarity)``: up to ``k`` other rows of highest cosine similarity, ties by id ascending.
 
     A vector takes part if it has ``dims`` elements, all finite and not all zero;
@@ -224,9 +266,12 @@ def nearest_neighbours(df: DataFrame, id_column: str, vector_column: str, k: int
 
     Centroids are fitted on at most ``SAMPLE`` vectors; every vector is indexed,
     in the list of its nearest centroid, and searched for in its ``probes``
-    nearest lists. Within a list, candidates are dropped early by tests on
+    nearest lists. How many that are is measured, unless given: ``MEASURED`` vectors are
+    compared with all, and the lists probed must hold ``RECALL`` of their neighbours, so
+    the accuracy stays where it is when there are more lists. Within a list, candidates are dropped early by tests on
     partial distances (see ``scan_list``). The result is approximate: a neighbour
-    in a list that isn't probed, or dropped by a test, is missed. Cells with many
+    in a list that isn't probed, or dropped by a test, is missed. With ``exact`` all lists
+    are probed and only candidates that are certainly farther are dropped. Cells with many
     vectors or queries are split into blocks, so that a task's share is bounded.
     """
     spark = df.sparkSession
@@ -244,13 +289,14 @@ def nearest_neighbours(df: DataFrame, id_column: str, vector_column: str, k: int
         return spark.createDataFrame([], "id string, neighbour string, similarity double")
     index = spark.sparkContext.broadcast(Index(_matrix(sample, dims), lists))
 
+    farthest = 4.0 if least is None else 2 - 2 * least
+    probes = lists if exact else probes or min(lists, measured_probes(classes, index, total, dims, k, farthest * (1 + 1e-6), RECALL))
     reps = classes.select("rep", "vec")
     loads = reps.mapInPandas(_count_cells(index, dims, probes), "cell long, homes long, queries long").groupBy("cell").agg(F.sum("homes").alias("homes"), F.sum("queries").alias("queries")).collect()
     homes_of = {r["cell"]: -(-r["homes"] // BLOCK_HOMES) for r in loads if r["homes"] > BLOCK_HOMES}
     queries_of = {r["cell"]: -(-r["queries"] // BLOCK_QUERIES) for r in loads if r["queries"] > BLOCK_QUERIES}
     dealt = reps.mapInPandas(_deal(index, dims, probes, homes_of, queries_of), "cell long, hb int, qb int, role int, lists array<int>, rep string, vec binary")
-    farthest = 4.0 if least is None else 2 - 2 * least
-    near = dealt.groupBy("cell", "hb", "qb").applyInPandas(_scan_cell(dims, k + 2, farthest), "rep string, other string, similarity double")
+    near = dealt.groupBy("cell", "hb", "qb").applyInPandas(_scan_cell(dims, k + 2, farthest, exact), "rep string, other string, similarity double")
     if least is not None:
         near = near.where(F.col("similarity") >= least)
     best = Window.partitionBy("rep").orderBy(F.desc("similarity"), "other")

@@ -35,16 +35,17 @@ def _encoding(path: str):
 
 
 def token_counts(df: DataFrame, id_column: str, text_column: str, vocabulary: str | None = None) -> DataFrame:
-    """``(id, n_tokens)`` for each row, whole texts counted where they are scanned; a null text has 0 tokens."""
+    """``(id, n_tokens, digest)`` for each row, whole texts counted where they are scanned; a null text has 0 tokens. ``digest`` is a hash of the text."""
     path = vocabulary or f"{TOKENIZER_DIR}/{VOCABULARY}"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoding(path).encode_ordinary
         for batch in by_size(batches, "text"):
             sizes = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64())], ["id", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), batch.column("digest")], ["id", "n_tokens", "digest"])
 
-    return df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(count, "id long, n_tokens long")
+    slim = df.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("digest"))
+    return slim.mapInArrow(count, "id long, n_tokens long, digest long")
 
 
 class OpenBins:
@@ -118,7 +119,8 @@ def pack(df: DataFrame, id_column: str, text_column: str, capacity: int = 2048,
     tokens, rows = counts.agg(F.sum("n_tokens"), F.count(F.lit(1))).first()
     # rows without tokens weigh a little too, so that a shard of empty texts stays small
     shards = max(1, -(-((tokens or 0) + 16 * rows) // SHARD_TOKENS))
-    mixed = F.xxhash64("id", "n_tokens", F.monotonically_increasing_id())
+    # by what the row is and not by where it stands, so that the result doesn't depend on how files are split
+    mixed = F.xxhash64("id", "n_tokens", "digest")
     dealt = counts.withColumn("mixed", mixed).withColumn("shard", F.pmod("mixed", F.lit(shards)))
 
     def one(shard: pd.DataFrame) -> pd.DataFrame:

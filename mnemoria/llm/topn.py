@@ -37,6 +37,35 @@ def _code(level: Column, text_levels: int) -> Column:
     )
 
 
+def _differs(level: Column, text_levels: int) -> Column:
+    """The first level beyond ``level`` on which the smallest and the largest code of rows can differ.
+
+    Keys in between share what these two share; a null key has the lowest code on any
+    level of the key, whichever comes next.
+    """
+    out = F.lit(text_levels + 3)
+    halves = F.when(~F.shiftright("number1", 32).eqNullSafe(F.shiftright("number2", 32)), text_levels + 2).otherwise(out)
+    out = F.when(F.octet_length("key1") != F.octet_length("key2"), text_levels + 1).otherwise(halves)
+    for at in range(text_levels, 0, -1):
+        beginning = [F.substring(F.encode(k, "UTF-8"), 1, at * CHUNK) for k in (F.col("key1"), F.col("key2"))]
+        out = F.when(beginning[0] != beginning[1], at).otherwise(out)
+    # where some keys are null and others not, the next level parts them
+    return F.greatest(F.when(F.col("nulls") > 0, level + 1).otherwise(out), level + 1)
+
+
+def _code_of(key: str, number: str, text_levels: int) -> Column:
+    """The code on the level ``next`` of a row with this key and number; null where it is infinite."""
+    at, number_column = F.col("next"), F.col(number)
+    found = (
+        F.when(at <= text_levels, -_chunk(F.col(key), at))
+        .when(at == text_levels + 1, -F.octet_length(key).cast("double"))
+        .when(at == text_levels + 2, -F.shiftright(number_column, 32).cast("double"))
+        .when(F.shiftright("number1", 32).eqNullSafe(F.shiftright("number2", 32)), -number_column.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double"))
+        .otherwise(F.lit(0.0 if number == "number1" else -float(0xFFFFFFFF)))
+    )
+    return found
+
+
 def _bucket(code: Column) -> Column:
     """Number of midpoints between ``lo`` and ``hi`` at or below the code; infinities have buckets of their own."""
     # halves, so that the span of two large scores of unlike sign is finite
@@ -55,7 +84,8 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie_key: str, tie_num
     empty table gives no rows. Columns not named aren't read.
 
     All groups are cut at once: each pass counts, for every group that is still
-    open, the rows above 4095 midpoints of its range of codes, accepts what lies
+    open, the rows above 4095 midpoints of its range of codes (rows of one score go on
+    at the first part of the key that tells them apart), accepts what lies
     above the cutoff, drops what lies below, and goes on within the cutoff's
     section, whose ends are the codes that occur there. Counting combines on the
     map side, and the cutoffs of hot groups reach their rows by a broadcast of
@@ -75,12 +105,15 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie_key: str, tie_num
     accepted = None
     while True:
         level = F.col("level")
-        coded = active.withColumns({"code": _code(level, text_levels), "next_code": _code(level + 1, text_levels)}).withColumn("bucket", _bucket(F.col("code")))
-        finite_next = F.when(F.abs("next_code") < _INF, F.col("next_code"))
+        coded = active.withColumn("code", _code(level, text_levels)).withColumn("bucket", _bucket(F.col("code")))
         counts = coded.groupBy("grp", "bucket").agg(
-            F.count(F.lit(1)).alias("n"), F.min("code").alias("lo2"), F.max("code").alias("hi2"), F.min(finite_next).alias("lo3"), F.max(finite_next).alias("hi3"),
-            F.first("need").alias("need"), F.first("level").alias("level"),
+            F.count(F.lit(1)).alias("n"), F.min("code").alias("lo2"), F.max("code").alias("hi2"), F.min("tie_key").alias("key1"), F.max("tie_key").alias("key2"),
+            F.min("tie_number").alias("number1"), F.max("tie_number").alias("number2"), F.first("need").alias("need"), F.first("level").alias("level"),
+            F.count_if(F.col("tie_key").isNull() | F.col("tie_number").isNull()).alias("nulls"),
         )
+        # rows with one code go on at the first level on which their smallest and largest key, or number, differ
+        counts = counts.withColumn("next", _differs(level, text_levels))
+        counts = counts.withColumns({"lo3": _code_of("key2", "number2", text_levels), "hi3": _code_of("key1", "number1", text_levels)})
         above = F.sum("n").over(Window.partitionBy("grp").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0))
         # of each group only the sections down to the cutoff's; at most one of them is split
         cut = counts.withColumn("upto", above).where(F.col("upto") - F.col("n") < F.col("need"))
@@ -89,7 +122,7 @@ def top_n_per_group(df: DataFrame, group: str, score: str, tie_key: str, tie_num
             F.min("bucket").alias("cut"),
             F.max(split).alias("open"),
             F.max(F.when(split, F.col("need") - F.col("upto") + F.col("n"))).alias("need2"),
-            F.max(F.when(split, F.col("level") + F.when(tied, 1).otherwise(0))).alias("level2"),
+            F.max(F.when(split, F.when(tied, F.col("next")).otherwise(F.col("level")))).alias("level2"),
             F.max(F.when(split, F.when(tied, F.coalesce("lo3", F.lit(0.0))).otherwise(F.col("lo2")))).alias("lo2"),
             F.max(F.when(split, F.when(tied, F.coalesce("hi3", F.lit(0.0))).otherwise(F.col("hi2")))).alias("hi2"),
         )

@@ -117,6 +117,70 @@ def test_edited_copies_are_found_beside_whole_copies(spark):
     assert sorted(x["doc_id"] for x in rows) == [0, 1, 2, 10, 11, 12] and all(x["score"] >= 80 for x in rows)
 
 
+def full_align(passage, text):
+    """Scores of the whole table at once."""
+    from mnemoria.llm.leak import GAP, MATCH, MISMATCH
+
+    score = np.zeros((len(passage) + 1, len(text) + 1), int)
+    for i in range(1, len(passage) + 1):
+        for j in range(1, len(text) + 1):
+            hit = passage[i - 1] == text[j - 1] and text[j - 1] > 0
+            score[i, j] = max(0, score[i - 1, j - 1] + (MATCH if hit else MISMATCH), score[i - 1, j] + GAP, score[i, j - 1] + GAP)
+    return int(score.max())
+
+
+def test_alignment_keeps_few_rows_and_loses_nothing():
+    r = np.random.default_rng(5)
+    for n, m in ((1, 1), (3, 9), (10, 40), (17, 30), (30, 60)):
+        for _ in range(6):
+            a, b = r.integers(1, 6, n).astype(np.int32), r.integers(0, 6, m).astype(np.int32)
+            score, equal, columns, first, last = align(a, b)
+            assert score == full_align(a, b) and score == 3 * equal - columns and 0 <= first <= last <= m
+
+
+def test_long_stretches_are_cut_without_loss():
+    from mnemoria.llm.leak import _regions
+
+    for size, end, starts in ((10, 100_000, range(0, 99_000, 7)), (4000, 90_000, range(0, 80_000, 50)), (5, 30, [2, 20]), (5, 5, [0])):
+        parts = _regions(list(starts), size, end)
+        covered = set()
+        for a, b in parts:
+            assert 0 <= a < b <= end and b - a <= max(20_000, 6 * size)
+            covered |= set(range(a, b, max(1, size // 3)))
+        for start in starts:
+            low, high = max(0, start), min(end, start + 3 * size)
+            if high <= start + 2 * size:
+                assert any(a <= low and high <= b for a, b in parts)
+
+
+@pytest.mark.parametrize(("edited", "least"), [(0.05, 0.99), (0.1, 0.95), (0.2, 0.7)])
+def test_recall_of_edited_copies(spark, edited, least):
+    r = random.Random(int(edited * 100))
+    items = [(i, passage(r, 60)) for i in range(120)]
+    docs = []
+    for i, text in items:
+        words = text.split()
+        for _ in range(round(edited * len(words))):
+            at = r.randrange(len(words))
+            words[at : at + 1] = r.choice([[], [f"x{r.randrange(999)}"], [words[at], f"y{r.randrange(999)}"]])
+        docs.append((i, passage(r, 150) + " " + " ".join(words) + " " + passage(r, 150)))
+    found = find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, passage string"))
+    hits = {x["doc_id"] for x in found.where("doc_id = item_id").collect()}
+    assert len(hits) / len(items) >= least, len(hits) / len(items)
+
+
+def test_short_passages_say_nothing(spark):
+    df = spark.createDataFrame([(1, "the cat sat on the mat and slept")], DOCS)
+    it = spark.createDataFrame([(1, "the"), (2, "cat sat on the"), (3, "cat sat on the mat")], "item_id long, passage string")
+    assert [x["item_id"] for x in find_leaks(df, it).collect()] == [3]
+
+
+def test_packing_does_not_depend_on_the_split_of_files(spark):
+    df = spark.createDataFrame([(i, f"word {i} " * (i % 40)) for i in range(300)] + [(7, "twice"), (7, "twice")], DOCS)
+    pack_of = lambda n: sorted(map(tuple, pack(df.repartition(n, "text"), "doc_id", "text", 128).collect()))
+    assert pack_of(1) == pack_of(7)
+
+
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     from mnemoria.llm import leak
 

@@ -38,6 +38,18 @@ def test_recall_against_brute_force(spark):
     assert len(got & want) >= 0.97 * len(want) and len(got & want) >= 0.97 * len(got)
 
 
+def test_probes_follow_the_number_of_lists_and_exact_finds_all(spark):
+    # many small lists: a fixed number of probes would lose most neighbours
+    x = np.random.default_rng(7).standard_normal((700, 16)).astype(np.float32)
+    ids = [f"k{i:04}" for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], VEC)
+    want = brute(ids, x.astype(float), 5, -2)
+    got = lambda **how: {(r["id"], r["neighbour"]) for r in nearest_neighbours(df, "id", "embedding", 5, dims=16, lists=128, **how).collect()}
+    few, measured, exact = got(probes=4), got(), got(exact=True)
+    assert len(few & want) < 0.8 * len(want) <= 0.9 * len(want) <= len(measured & want)
+    assert len(exact & want) >= 0.999 * len(want) and len(exact) == len(want)
+
+
 def test_without_a_least_similarity(spark):
     x = clustered(300, 16, 2)
     ids = [f"k{i:04}" for i in range(len(x))]
