@@ -140,6 +140,9 @@ def find_spans(texts: list[str], model: Tagger | None = None) -> list[list[tuple
                         a -= 1
                     while b < len(text) and text[b - 1].isalnum() and text[b].isalnum() and labels[b] == 0:
                         b += 1
+                    # what stands before an at sign without a space is its user
+                    while kind == "email" and a > 0 and (text[a - 1].isalnum() or text[a - 1] in "._+-") and labels[a - 1] == 0:
+                        a -= 1
                     # marks around a piece belong to the text
                     while a < b and not text[a].isalnum() and text[a] not in "+(":
                         a += 1

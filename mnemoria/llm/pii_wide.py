@@ -19,6 +19,14 @@ Chantal Thierry Aurélie Olivier Mathilde Étienne Margaux Benoît Élodie José
 Francesca Giuseppe Valentina Alessandro Martina Lorenzo Bianca Krzysztof Agnieszka Piotr Małgorzata Zdeněk Jiřina Björn Åsa Søren Kirsten Aleksandr Svetlana Yevgeny
 Oksana Nikos Eleni Ayşe Murat Mohammed Layla Ibrahim Zainab Rajesh Lakshmi Arjun Deepika Haruto Sakura Kenji Ming Xiaoling Jun Minh Thuy Kwame Ngozi Chinedu Amara Thabo
 Tariq Noor João Beatriz""".split()
+#: More first names, of older and other generations and other countries.
+FIRST_MORE = """Abigail Adelheid Agatha Alasdair Albert Alfonso Alma Ambrose Amelie Anselm Antonia Arturo Astrid Audrey August Aurora Barnaby Beata Benedikt Bernhard Bertha Blanca Bogdan
+Boris Branko Brigitte Bruna Camille Carla Casper Cecilia Celeste Clement Clotilde Constance Cordelia Cosimo Cristina Cyril Dagmar Damian Dario Delphine Dennis Dietrich Dolores
+Dominik Donato Doris Dorothea Dragan Edith Edmund Eduardo Egon Eleanor Elias Elke Eloise Emil Enrique Erika Ernesto Erwin Esteban Eugen Eugenia Evelyn Fabian Felicity Ferdinand
+Filip Flavia Frances Frederick Frida Gabriel Gemma Geoffrey Gerald Gertrud Gilbert Gisela Gloria Gordon Gregor Guido Gustav Hannelore Harriet Hedwig Heidi Heinrich Helga Hendrik
+Henrietta Hilda Holger Horace Humphrey Ida Ilse Ingo Irene Irma Isidro Jacqueline Jadwiga Janine Jasmin Joachim Jolanda Josefina Judith Julian Justine Kamila Karim Kurt
+Lambert Laurent Leila Leonard Liselotte Loretta Louis Ludwig Lydia Magda Malcolm Marcel Marguerite Marius Marlene Martha Mateo Maurice Mercedes Milan Mildred Miriam Mona Muriel
+Nadine Natasha Nikolai Noelia Norbert Odette Olaf Orlando Oskar Ottilie Pascal Paula Penelope Quentin Rafael Ramona Regina Reinhold""".split()
 #: Family names of several languages.
 LAST = """Smith Johnson Williams Brown Jones Miller Davis Wilson Anderson Taylor Moore Jackson Martin Lee Thompson White Harris Clark Lewis Robinson Walker Young Allen King
 Wright Scott Hill Green Adams Baker Nelson Carter Mitchell Roberts Turner Phillips Campbell Parker Evans Edwards Collins Stewart Morris Murphy Cook Rogers Cooper Bailey
@@ -93,7 +101,7 @@ class Wide:
 
     def last(self) -> str:
         r, x = self.r, self.r.random()
-        name = r.choice(LAST) if x < 0.4 else self.invented() if x < 0.85 else r.choice(self.small).title() if x < 0.93 else r.choice(self.proper)
+        name = r.choice(LAST) if x < 0.35 else self.invented() if x < 0.89 else r.choice(self.small).title() if x < 0.93 else r.choice(self.proper)
         x = r.random()
         if x < 0.03:
             return r.choice(["O'", "Mc", "Mac", "D'", "Fitz"]) + name
@@ -103,7 +111,7 @@ class Wide:
 
     def first(self) -> str:
         r, x = self.r, self.r.random()
-        return r.choice(FIRST) if x < 0.65 else self.invented() if x < 0.92 else f"{r.choice(FIRST)}-{r.choice(FIRST)}" if x < 0.95 else f"{r.choice(FIRST)} {r.choice(FIRST)}"
+        return r.choice(FIRST) if x < 0.35 else r.choice(FIRST_MORE) if x < 0.65 else self.invented() if x < 0.92 else f"{r.choice(FIRST)}-{r.choice(FIRST)}" if x < 0.95 else f"{r.choice(FIRST)} {r.choice(FIRST)}"
 
     def name(self) -> str:
         r, x = self.r, self.r.random()
@@ -184,7 +192,12 @@ class Wide:
     def words(self, low: int, high: int) -> str:
         r = self.r
         out = [r.choice(self.small) for _ in range(r.randint(low, high))]
-        return " ".join(w.title() if r.random() < 0.08 else w for w in out)
+        out = [w.title() if r.random() < 0.06 else w for w in out]
+        if len(out) > 1 and r.random() < 0.12:
+            # two words of a title are no name
+            at = r.randrange(len(out) - 1)
+            out[at : at + 2] = [w.title() for w in out[at : at + 2]]
+        return " ".join(out)
 
     def filled(self, form: str) -> list[tuple[str, str | None]]:
         """A sentence with its places filled."""
@@ -216,12 +229,19 @@ class Wide:
             x = r.random()
             if x < 0.2:
                 part = self.filled(r.choice(WITH_NAME))
-            elif x < 0.3:
+            elif x < 0.34:
                 # names among any words, so that no single sentence is needed to tell them
-                part = [(self.words(0, 5) + " ", None), (self.name(), "person_name"), (" " + self.words(0, 5), None)]
-            elif x < 0.52:
+                before, after = self.words(0, 6), self.words(0, 6)
+                before = before[:1].upper() + before[1:] if r.random() < 0.7 else before
+                part = [(before + " " if before else "", None), (self.name(), "person_name"), (r.choice([" ", " ", " ", ", "]) + after if after else "", None)]
+            elif x < 0.38:
+                # fields, of which some hold a name and some only capitals
+                field, told = (r.choice(["name", "contact", "owner", "customer", "author", "from", "assignee", "tenant", "patient"]), True) if r.random() < 0.5 else (r.choice(self.small), False)
+                value = (self.name(), "person_name") if told else (self.words(1, 3).title() if r.random() < 0.6 else self.words(1, 3), None)
+                part = [(field + r.choice([": ", "=", " = "]), None), value]
+            elif x < 0.54:
                 part = self.filled(r.choice(r.choice([WITH_MAIL, WITH_PHONE, WITH_ID, WITH_HOME])))
-            elif x < 0.58:
+            elif x < 0.59:
                 # several kinds in a row, as in a signature
                 part = [(self.name(), "person_name"), (r.choice([", ", "\n", " - ", " | "]), None), r.choice([(self.mail(), "email"), (self.phone(), "phone"), (self.home(), "street_address")])]
             elif x < 0.78:
