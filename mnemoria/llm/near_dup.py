@@ -141,10 +141,16 @@ def token_frequencies(counted: DataFrame) -> np.ndarray:
     return out.reshape(2, COUNTERS)
 
 
+_COUNT_OF = 2.0 ** (np.arange(256) / _STEPS)
+
+
+def _level(levels: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    return np.minimum(*(levels[row][_slot(tokens, row)] for row in (0, 1)))
+
+
 def _often(levels: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """Counts of tokens: 1 for those that no other value has."""
-    level = np.minimum(*(levels[row][_slot(tokens, row)] for row in (0, 1)))
-    return 2.0 ** (level / _STEPS)
+    return _COUNT_OF[_level(levels, tokens)]
 
 
 def band_of(sizes: np.ndarray) -> np.ndarray:
@@ -343,9 +349,10 @@ def _pair_signatures(frequencies, words_per_shingle: int, similarity: float, hot
         for batch in by_size(batches, "value", limit=2_000_000):
             tokens, bounds, _ = token_sets(batch.column("value").to_pylist(), batch.column("kind").to_pylist(), words_per_shingle)
             sizes, numbers = np.diff(bounds), np.asarray(batch.column("no"))
-            owner, often = np.repeat(np.arange(len(sizes)), sizes), _often(levels, tokens)
-            order = np.lexsort((tokens, often, owner))
-            tokens, often = tokens[order], often[order]
+            owner, level = np.repeat(np.arange(len(sizes)), sizes), _level(levels, tokens)
+            # a record's tokens are sorted already, so that equal counts stay in the order of tokens
+            order = np.argsort((owner << 8) | level, kind="stable")
+            tokens, often = tokens[order], _COUNT_OF[level[order]]
             place = np.arange(len(tokens)) - np.repeat(bounds[:-1], sizes)
             for up in (0, 1):
                 band = band_of(sizes) + up
@@ -361,7 +368,7 @@ def _pair_signatures(frequencies, words_per_shingle: int, similarity: float, hot
                 if not len(kept):
                     continue
                 segment = (mix(kept) >> np.uint64(11)) % segments[who].astype(np.uint64)
-                order = np.lexsort((kept, segment, who))
+                order = np.lexsort((kept, (who.astype(np.uint64) << np.uint64(32)) | segment))
                 kept, who, segment, count = kept[order], who[order], segment[order], count[order]
                 starts = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (segment[1:] != segment[:-1])]))
                 size = np.diff(np.append(starts, len(kept)))
