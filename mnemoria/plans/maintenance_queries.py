@@ -212,12 +212,15 @@ def capacity_batch_stop(spark: SparkSession, d: str) -> DataFrame:
     return capacity.prefix_until_full(admitted).select("seq", "namespace", "key")
 
 
-@C.add("""SELECT namespace, key, value FROM entries e WHERE NOT EXISTS (SELECT 1 FROM ops o WHERE o.op = 'pin' AND o.namespace = e.namespace AND o.key = e.key)
-  UNION ALL SELECT DISTINCT namespace, key, 'forced' FROM ops WHERE op = 'pin'""")
+@C.add("""SELECT namespace, key, value, memory_type, expires_at_ms, embedding, last_accessed_ms, relevance, created_at_ms, access_count, pinned FROM entries e
+  WHERE NOT EXISTS (SELECT 1 FROM ops o WHERE o.op = 'pin' AND o.namespace = e.namespace AND o.key = e.key)
+  UNION ALL SELECT namespace, key, 'forced', 'semantic', NULL, [0.5, 0.25], max(ts_ms), 0.75, min(ts_ms), count(DISTINCT seq), true FROM ops WHERE op = 'pin' GROUP BY namespace, key""")
 def forced_merge(spark: SparkSession, d: str) -> DataFrame:
-    rows = entries(spark, d).select("namespace", "key", "value")
-    forced = load(spark, d, "ops").where(F.col("op") == "pin").select("namespace", "key", F.lit("forced").alias("value")).distinct()
-    return mutate.merge_forced(rows, forced)
+    """Full records, with all their metadata, over the state."""
+    pins = load(spark, d, "ops").where(F.col("op") == "pin").groupBy("namespace", "key").agg(F.max("ts_ms").alias("last_accessed_ms"), F.min("ts_ms").alias("created_at_ms"), F.count_distinct("seq").alias("access_count"))
+    made = {"value": F.lit("forced"), "memory_type": F.lit("semantic"), "expires_at_ms": F.lit(None).cast("long"), "embedding": F.array(F.lit(0.5), F.lit(0.25)).cast("array<float>"), "relevance": F.lit(0.75), "pinned": F.lit(True)}
+    rows = entries(spark, d)
+    return mutate.merge_forced(rows, pins.withColumns(made).select(*rows.columns))
 
 
 @C.add("SELECT namespace AS client, (ts_ms // 60000) * 60000 AS window_ms, count(*) AS n, greatest(count(*) - 2, 0) AS refused FROM ops WHERE namespace IS NOT NULL AND ts_ms IS NOT NULL GROUP BY ALL")
@@ -266,6 +269,11 @@ def trigger_entries_matching(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "namespace", "key", "memory_type", F.round("relevance", 6).alias("relevance"), "created_at_ms", "access_count")
 
 
+@C.add(f"WITH {_MATCH} SELECT m.id AS trigger_id, m.namespace, CAST({AS_OF} AS BIGINT) AS fired_at_ms, m.key, e.value, m.memory_type, round(m.relevance, 6) AS relevance, m.created_at_ms, m.access_count FROM matches m JOIN entries e ON e.namespace = m.namespace AND e.key = m.key WHERE m.id IN (SELECT id FROM counted JOIN triggers USING (id) WHERE holds AND {_READY})")
+def trigger_contexts(spark: SparkSession, d: str) -> DataFrame:
+    return triggers.contexts(_triggers(spark, d), entries(spark, d), AS_OF).withColumn("relevance", F.round("relevance", 6))
+
+
 @C.add(f"WITH {_MATCH} SELECT t.id, CASE WHEN holds AND {_READY} THEN {AS_OF} ELSE last_fired_ms END AS last_fired_ms FROM triggers t JOIN counted USING (id)")
 def trigger_mark_fired(spark: SparkSession, d: str) -> DataFrame:
     t = _triggers(spark, d)
